@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, text_of, written
 from .graph import components
@@ -145,9 +146,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 HASH = Hasher()
+SIGNED = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
-@F.pandas_udf("struct<node:binary,bands:array<long>>")
+@F.pandas_udf(SIGNED)
 def signed(texts: pd.Series) -> pd.DataFrame:
     """The 16-byte digest of a text's words, and its band keys (none without words)."""
     nodes, bands = [], []
@@ -170,7 +172,7 @@ def signed(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "bands": pd.Series(bands, dtype=object)})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     last: dict[str, tuple] = {}
 

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NOT_SPACE, ship, text_of, written
 
@@ -83,7 +84,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return index.astype(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def permuted_column(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), n.to_numpy(), key.to_numpy().view(np.uint64)))
 

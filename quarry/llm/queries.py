@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, minhash, mixing, tokens, toxicity
+from . import decontam, exact, html, licenses, lines, minhash, mixing, secrets, tokens, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,10 +20,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decisions(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_dedup,
         op2_exact_dedup,
+        op3_line_dedup,
+        op4_license_scan,
+        op5_secret_scan,
         op6_toxicity,
+        op7_html_text,
         op8_decontaminate,
         op9_mix,
         op10_token_counts,
@@ -58,4 +78,6 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM t JOIN g USING (text_sha256)""",
+    "op4_license_scan": licenses.oracle(),
+    "op5_secret_scan": secrets.oracle(),
 }
