@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import q_query  # noqa: F401  registers
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "agg_grouped"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
