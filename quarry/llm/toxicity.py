@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, text_of, written
 
 WORDS = re.compile(r"\w+")
 FOLDS = 5
@@ -62,23 +62,11 @@ def text_words(text: str) -> set[str]:
 
 
 def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, s: Sample) -> tuple[np.ndarray, float]:
-    """Weights per bucket and bias from each text's buckets.
-
-    Buckets count in which confirmed texts lie ``min_z`` standard deviations more often than
-    unlabelled texts lead to expect; the others keep weight 0.
-    """
+    """Weights per bucket and bias from each text's chosen buckets."""
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    lengths = [len(t) for t in texts]
     index = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), lengths)
-    once = np.unique(row * s.buckets + index)
-    in_p = np.bincount((once % s.buckets)[positive[once // s.buckets]], minlength=s.buckets)
-    in_u = np.bincount((once % s.buckets)[~positive[once // s.buckets]], minlength=s.buckets)
-    expected = n_p * np.maximum(in_u, 1) / n_u
-    chosen = ((in_p - expected) / np.sqrt(expected) > s.min_z) & (in_p >= 3)
-    keep = chosen[index]
-    used, index = np.unique(index[keep], return_inverse=True)
-    row = row[keep]
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    used, index = np.unique(index, return_inverse=True)
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, s.epochs + 1):
@@ -101,7 +89,7 @@ def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, s: Sample)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Sample) -> tuple[pd.DataFrame, float]:
-    """On the driver: (buckets, positive) of at most positives + unlabelled texts, and the prior."""
+    """On the driver: (chosen buckets, positive) of at most positives + unlabelled texts, and the prior."""
     key = F.xxhash64("doc_id")
     learn = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     n, toxic = learn.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
@@ -118,9 +106,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Sample) -> tuple[pd.D
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(f for w in text_words(t) for f in features(w, buckets)) for t in texts])
 
-    # at most positives + unlabelled ids: a bounded broadcast, and a bounded result
+    # at most positives + unlabelled ids: a bounded broadcast, and a bounded table
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marks), "doc_id")
-    return rows.select(hashed("text").alias("buckets"), "positive", "doc_id").orderBy("positive", key).drop("doc_id").toPandas(), toxic / n
+    rows = written(rows.select("doc_id", "positive", hashed("text").alias("buckets")), "sample")
+    chosen = chosen_buckets(rows, s)
+    kept = F.array_sort(F.filter("buckets", lambda b: F.array_contains(F.lit(chosen), b))) if chosen else F.array().cast("array<int>")
+    return rows.select(kept.alias("buckets"), "positive", key.alias("k"), "doc_id").orderBy("positive", "k", "doc_id").select("buckets", "positive").toPandas(), toxic / n
+
+
+def chosen_buckets(rows: DataFrame, s: Sample) -> list[int]:
+    """Buckets in which confirmed texts lie ``min_z`` standard deviations more often than unlabelled
+    texts lead to expect. Counted on the executors; there are s.buckets at most."""
+    n_p, n_u = rows.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    once = rows.select("positive", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    counts = once.groupBy("bucket").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    expected = n_p * F.greatest(F.col("u"), F.lit(1)) / max(1, n_u)
+    strong = counts.filter((F.col("p") >= 3) & ((F.col("p") - expected) / F.sqrt(expected) > s.min_z))
+    return sorted(r["bucket"] for r in strong.select("bucket").collect())
 
 
 class Scorer:
