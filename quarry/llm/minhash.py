@@ -10,10 +10,13 @@ darts a text are thrown, and twice as far where a coordinate is still empty, so
 reading them.
 
 ``BANDS`` bands of ``ROWS`` coordinates are joined. In each bucket all texts are compared with its
-smallest, whole texts and exact similarity. Texts that a bucket's smallest does not resemble are
-compared with those of the bucket that are not yet in their class, unless the triangle inequality of the
-distance 1 - similarity rules that out. Classes are the connected components of pairs of
-similarity ``threshold`` or more. At similarity 0.8 a pair shares a bucket with probability 0.9999.
+hub, the text that shares most buckets with others, whole texts and exact similarity. Texts that
+the hub does not resemble are paired with those of the bucket that are not yet in their class,
+unless the triangle inequality of the distance 1 - similarity rules that out, or sketches of
+``SKETCH`` further coordinates, one bit each, put the pair more than four standard deviations under the
+threshold; that condition is part of the join, so a hot bucket makes no rows of it. Classes are the
+connected components of pairs of similarity ``threshold`` or more. At similarity 0.8 a pair shares a
+bucket with probability 0.9999.
 
 Words are runs of letters and digits in lower case. Texts of equal word sequences are one node
 of the graph, so copies are never paired among themselves.
@@ -43,7 +46,9 @@ BANDS, ROWS = 30, 6
 COORDS = BANDS * ROWS
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
+#: Coordinates of the sketches, and the margin of the similarity that they estimate.
+SKETCH, MARGIN = 1024, 0.08
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,7 +162,7 @@ def signed(texts: pd.Series) -> pd.DataFrame:
     at = 0
     while at < len(values):
         group, size = [], 0
-        while at < len(values) and size < 1_500_000:
+        while at < len(values) and size < 1_000_000:
             words = WORDS.findall(values[at].lower())
             nodes.append(blake2b("\x00".join(words).encode("utf-8", "replace"), digest_size=16).digest())
             group.append(weighted(shingles(HASH(words))))
@@ -187,13 +192,19 @@ def exact_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(of(x), of(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def sketched(texts: pd.Series) -> pd.Series:
+    """One bit of each of SKETCH coordinates, in longs. Equal bits of two texts: (1 + similarity) / 2 of all."""
+    values, out = texts.tolist(), []
+    for at in range(0, len(values), 100):
+        sets = [weighted(shingles(HASH(WORDS.findall(t.lower())))) for t in values[at : at + 100]]
+        bits = (mix(signatures(sets, SKETCH)) & np.uint64(1)).astype(np.uint8)
+        out += list(np.packbits(bits, axis=1).view(np.int64))
+    return pd.Series(out, dtype=object)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs(node, other) with the exact similarity of their whole texts."""
-    ends = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    wanted = ends.join(nodes, "node").select("node", F.col("th").alias("_th"))
-    texts = docs.select(text_of().alias("text")).withColumn("_t", F.md5("text"))
-    texts = texts.join(wanted, F.col("_t") == F.col("_th")).dropDuplicates(["node"]).select("node", "text")
-    texts = written(texts, "texts")
     left = pairs.join(texts.withColumnRenamed("text", "a"), "node")
     both = left.join(texts.select(F.col("node").alias("other"), F.col("text").alias("b")), "other")
     return both.select("node", "other", exact_similarity("a", "b").alias("similarity"))
@@ -207,34 +218,49 @@ def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame
     )
     rows = read.select("doc_id", "th", "node")
     nodes = read.groupBy("node").agg(F.min("th").alias("th"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = written(banded.join(heads, "bucket"), "members")
-    stars = members.filter("node != head").select("node", F.col("head").alias("other")).distinct()
-    stars = written(_similar(stars, nodes, docs), "stars")
+    banded = written(nodes.select("node", "th", F.explode("bands").alias("bucket")), "bands")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(banded.join(shared, "bucket"), "members")
+    busy = members.groupBy("node").agg(F.min("th").alias("th"), F.sum("n").alias("busy"))
+    busy = written(busy, "busy")
+    texts = docs.select(text_of().alias("text")).withColumn("_t", F.md5("text"))
+    texts = texts.join(busy.select("node", F.col("th").alias("_th")), F.col("_t") == F.col("_th"))
+    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    # The hub of each bucket, and all of the bucket against it.
+    placed = members.select("bucket", "node").join(busy.select("node", "busy"), "node")
+    hubs = placed.groupBy("bucket").agg(F.max(F.struct("busy", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
+    placed = written(placed.join(hubs, "bucket").select("bucket", "node", "hub"), "placed")
+    stars = written(_similar(placed.filter("node != hub").select("node", F.col("hub").alias("other")).distinct(), texts), "stars")
     linked = stars.filter(F.col("similarity") >= threshold)
-    # What a bucket's head does not resemble, against the rest of the bucket outside its class.
+    if stars.filter(F.col("similarity") < threshold).isEmpty():
+        return rows, linked
+    # What a hub does not resemble, against the rest of the bucket outside its class.
     root = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    near = stars.select("node", F.col("other").alias("head"), "similarity")
-    placed = members.join(near, ["node", "head"], "left").join(root, "node", "left").select(
-        "bucket", "node", F.when(F.col("node") == F.col("head"), 1.0).otherwise(F.col("similarity")).alias("near"), F.coalesce("root", "node").alias("root")
+    near = stars.select("node", F.col("other").alias("hub"), "similarity")
+    known = placed.join(near, ["node", "hub"], "left").join(root, "node", "left").select(
+        "bucket", "node", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near"), F.coalesce("root", "node").alias("root")
     )
-    placed = written(placed, "placed")
-    odd = placed.filter(F.col("near") < threshold)
-    o, m = odd.alias("o"), placed.filter("near < 1").alias("m")
-    rest = (
-        o.join(m, F.col("o.bucket") == F.col("m.bucket"))
-        .filter("o.root != m.root")
-        .filter(f"m.near >= {threshold} or o.node < m.node")
-        .filter(F.abs(F.col("o.near") - F.col("m.near")) <= 1 - threshold + 1e-9)
-        .select(F.col("o.node").alias("node"), F.col("m.node").alias("other"))
-        .distinct()
+    known = written(known, "known")
+    # Buckets with texts that are apart from their hub, beside others than the hub.
+    open_buckets = known.filter("near < 1").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("near") < threshold).alias("odd"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_buckets = open_buckets.filter("n > 1 and odd > 0 and low != high").select("bucket")
+    left_over = written(known.filter("near < 1").join(open_buckets, "bucket"), "left_over")
+    sketches = left_over.select("node").distinct().join(texts, "node").select("node", sketched("text").alias("sketch"))
+    left_over = left_over.join(written(sketches, "sketches"), "node")
+    o, m = left_over.filter(F.col("near") < threshold).alias("o"), left_over.alias("m")
+    differing = sum((F.bit_count(F.get("o.sketch", F.lit(i)).bitwiseXOR(F.get("m.sketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    rest = o.join(
+        m,
+        (F.col("o.bucket") == F.col("m.bucket"))
+        & (F.col("o.root") != F.col("m.root"))
+        & ((F.col("m.near") >= threshold) | (F.col("o.node") < F.col("m.node")))
+        & (F.abs(F.col("o.near") - F.col("m.near")) <= 1 - threshold + 1e-9)
+        & (differing <= int(SKETCH * (1 - threshold + MARGIN) / 2)),
     )
-    rest = written(rest, "rest")
+    rest = written(rest.select(F.col("o.node").alias("node"), F.col("m.node").alias("other")).distinct(), "rest")
     if rest.isEmpty():
         return rows, linked
-    more = _similar(rest, nodes, docs).filter(F.col("similarity") >= threshold)
+    more = _similar(rest, texts).filter(F.col("similarity") >= threshold)
     return rows, linked.unionByName(written(more, "more"))
 
 
