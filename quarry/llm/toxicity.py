@@ -110,8 +110,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Sample) -> tuple[pd.D
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marks), "doc_id")
     rows = written(rows.select("doc_id", "positive", hashed("text").alias("buckets")), "sample")
     chosen = chosen_buckets(rows, s)
-    kept = F.array_sort(F.filter("buckets", lambda b: F.array_contains(F.lit(chosen), b))) if chosen else F.array().cast("array<int>")
-    return rows.select(kept.alias("buckets"), "positive", key.alias("k"), "doc_id").orderBy("positive", "k", "doc_id").select("buckets", "positive").toPandas(), toxic / n
+
+    @F.pandas_udf("array<int>")
+    def kept(buckets: pd.Series) -> pd.Series:
+        return pd.Series([b[np.isin(b, chosen)] for b in buckets])
+
+    return rows.select(kept("buckets").alias("buckets"), "positive", key.alias("k"), "doc_id").orderBy("positive", "k", "doc_id").select("buckets", "positive").toPandas(), toxic / n
 
 
 def chosen_buckets(rows: DataFrame, s: Sample) -> list[int]:
