@@ -147,13 +147,13 @@ def drop_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     _, entries = _index(docs, digest)
     if not written(_collisions(_hits(docs, entries, digest)), "collided").isEmpty():
         return drop_copies(docs, lambda text: text)  # the text itself is the key
-    copies = entries.filter("n > 1").select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
+    copies = entries.filter("n > 1").select(F.col("digest").alias("__quarry_digest"), F.col("keep_id").alias("__quarry_keep"))
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     key = digest(normalised(text_of()))
-    alone = docs.join(copies, key == F.col("_digest"), "left_anti")
+    alone = docs.join(copies, key == F.col("__quarry_digest"), "left_anti")
     stay = (
-        docs.join(copies, (key == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
-        .dropDuplicates(["_digest"])
+        docs.join(copies, (key == F.col("__quarry_digest")) & F.col("doc_id").eqNullSafe(F.col("__quarry_keep")))
+        .dropDuplicates(["__quarry_digest"])
         .select(*[docs[c] for c in docs.columns])
     )
     return alone.unionByName(stay)

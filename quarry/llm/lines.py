@@ -117,8 +117,10 @@ def line_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with the repeated lines deleted from their texts; n_chars is not recomputed."""
-    gone = repeats(docs, words).filter(F.size("gone") > 0).select("id", "th", "gone").distinct()
-    key = (F.coalesce(docs["doc_id"], F.lit(LAST_ID)) == F.col("id")) & (F.md5(text_of()) == F.col("th"))
-    lines = F.filter(F.split(text_of(), "\n"), lambda x, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    gone = repeats(docs, words).filter(F.size("gone") > 0).distinct()
+    gone = gone.select(F.col("id").alias("__quarry_id"), F.col("th").alias("__quarry_th"), F.col("gone").alias("__quarry_gone"))
+    key = (F.coalesce(docs["doc_id"], F.lit(LAST_ID)) == gone["__quarry_id"]) & (F.md5(text_of()) == gone["__quarry_th"])
+    drop = gone["__quarry_gone"]
+    lines = F.filter(F.split(text_of(), "\n"), lambda x, k: ~F.coalesce(F.array_contains(drop, k), F.lit(False)))
+    kept = F.when(drop.isNull(), docs["text"]).otherwise(F.array_join(lines, "\n"))
     return docs.join(gone, key, "left").select(*[kept.alias(c) if c == "text" else docs[c] for c in docs.columns])

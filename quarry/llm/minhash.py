@@ -288,11 +288,11 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of docs for each class, that of the smallest doc_id; columns unchanged."""
-    stay = classes(docs, threshold).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    stay = written(stay.agg(F.count("*").alias("_n")), "stay")
-    met = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(text_of()) == F.col("_th")))
-    if not stay.filter("_n > 1").isEmpty():  # repeated rows
-        met = met.dropDuplicates(["_id", "_th"])
+    stay = classes(docs, threshold).filter("kept").groupBy(F.col("doc_id").alias("__quarry_id"), F.col("th").alias("__quarry_th"))
+    stay = written(stay.agg(F.count("*").alias("__quarry_n")), "stay")
+    met = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__quarry_id")) & (F.md5(text_of()) == F.col("__quarry_th")))
+    if not stay.filter("__quarry_n > 1").isEmpty():  # repeated rows
+        met = met.dropDuplicates(["__quarry_id", "__quarry_th"])
     return met.select(*[docs[c] for c in docs.columns])
 
 
