@@ -4,7 +4,9 @@ Every line of a text, and every paragraph of several lines (cut at blank lines),
 lower-case ASCII words and compared with licence templates by the Dice coefficient of their sets of word bigrams:
 2 * common / (bigrams + bigrams of the template). It matches from ``threshold`` on. As the
 coefficient is at most 2 * min / (min + max) of the two sizes, only templates whose size is within
-threshold / (2 - threshold) of the unit's, either way, are compared.
+threshold / (2 - threshold) of the unit's, either way, are compared. A unit that matches also shares
+that part of the template's bigrams, so each template has a few words of which it must hold one;
+units with no such word of any template are not taken apart into bigrams.
 
 Defined cases: a null text counts as empty and matches nothing; units of fewer than two words have
 no bigrams and match nothing; every row gives one row, repeated rows alike; doc_id may be null; of
@@ -13,6 +15,7 @@ templates of equal coefficient the first by name is the best; other columns are
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +72,22 @@ def template_rows(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str
     return out
 
 
+def needed_words(rows: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> list[str]:
+    """Words, long ones first, that cover so many bigrams of each template that a match cannot do without all of them."""
+    out: set[str] = set()
+    for _, grams in rows:
+        spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        covered: set[str] = set()
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+            if len(covered) > spare:
+                break
+            mine = {g for g in grams if word in g.split()}
+            if mine - covered:
+                covered |= mine
+                out.add(word)
+    return sorted(out)
+
+
 def units(text: Column) -> Column:
     """array<string> of normalised lines and paragraphs of several lines."""
     plain = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
@@ -88,7 +107,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     rows = template_rows(templates)
     least = threshold / (2 - threshold)
     known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for n, g in rows])
-    low = least * min(len(g) for _, g in rows)
+    low, needed = least * min(len(g) for _, g in rows), F.array(*map(F.lit, needed_words(rows, threshold)))
 
     def matched(unit: Column) -> Column:
         def of_words(words: Column) -> Column:
@@ -100,7 +119,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
                 return F.filter(scored, lambda s: s["dice"] >= threshold)
 
             # no fewer words than bigrams + 1: units too short for every template end here
-            return F.when(F.size(words) - 1 >= low, _bind(pairs, of_grams))
+            return F.when((F.size(words) - 1 >= low) & F.arrays_overlap(words, needed), _bind(pairs, of_grams))
 
         return _bind(F.split(unit, " "), of_words)
 
