@@ -25,6 +25,7 @@ from .common import text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.8
+COMMON = frozenset("a an and as at by for in is it of on or the this to with".split())
 
 # Public licence notices, by SPDX name.
 TEMPLATES = {
@@ -73,12 +74,12 @@ def template_rows(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str
 
 
 def needed_words(rows: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> list[str]:
-    """Words, long ones first, that cover so many bigrams of each template that a match cannot do without all of them."""
+    """Words, long ones first and common ones last, that cover so many bigrams of each template that a match cannot do without all of them."""
     out: set[str] = set()
     for _, grams in rows:
         spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
         covered: set[str] = set()
-        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
             if len(covered) > spare:
                 break
             mine = {g for g in grams if word in g.split()}
