@@ -329,9 +329,9 @@ def warnings(spark, sf_dir):
 
 @register(
     "dom_ticket_states",
-    "WITH e AS (SELECT user_id AS ticket_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'respond' WHEN 'click' THEN 'claim' WHEN 'error' THEN 'close' ELSE 'reopen' END AS event, event_id AS actor, ts AS at, event_id AS no FROM events) "
-    "SELECT ticket_id, max_by(CASE event WHEN 'create' THEN 'open' WHEN 'claim' THEN 'claimed' WHEN 'close' THEN 'closed' ELSE 'open' END, row(at, no)) FILTER (event <> 'respond') AS status, "
-    "floor(epoch(min(at) FILTER (event = 'respond')))::BIGINT - floor(epoch(min(at) FILTER (event = 'create')))::BIGINT AS response_seconds FROM e GROUP BY 1 HAVING count(*) FILTER (event <> 'respond') > 0",
+    "WITH e AS (SELECT user_id AS ticket_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'respond' WHEN 'click' THEN 'claim' WHEN 'error' THEN 'close' ELSE 'reopen' END AS event, event_id AS actor, ts AS t, event_id AS no FROM events) "
+    "SELECT ticket_id, max_by(CASE event WHEN 'create' THEN 'open' WHEN 'claim' THEN 'claimed' WHEN 'close' THEN 'closed' ELSE 'open' END, row(t, no)) FILTER (event <> 'respond') AS status, "
+    "floor(epoch(min(t) FILTER (event = 'respond')))::BIGINT - floor(epoch(min(t) FILTER (event = 'create')))::BIGINT AS response_seconds FROM e GROUP BY 1 HAVING count(*) FILTER (event <> 'respond') > 0",
 )
 def ticket_states(spark, sf_dir):
     kinds = {"signup": "create", "view": "respond", "click": "claim", "error": "close"}
