@@ -14,7 +14,8 @@ hub, the text that shares most buckets with others, whole texts and exact simila
 the hub does not resemble are paired with those of the bucket that are not yet in their class,
 unless the triangle inequality of the distance 1 - similarity rules that out, or sketches of
 ``SKETCH`` further coordinates, one bit each, put the pair more than four standard deviations under the
-threshold; that condition is part of the join, so a hot bucket makes no rows of it. Classes are the
+threshold; that condition is part of the join, as is that the bucket is the first that the pair
+shares, so a hot bucket makes few rows. Classes are the
 connected components of pairs of similarity ``threshold`` or more. At similarity 0.8 a pair shares a
 bucket with probability 0.9999.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, text_of, written
+from .common import ship, sized, text_of, written
 from .graph import components
 
 WORDS = re.compile(r"\w+")
@@ -48,7 +49,9 @@ GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Words whose hashes a worker remembers.
 REMEMBERED = 150_000
 #: Coordinates of the sketches, and the margin of the similarity that they estimate.
-SKETCH, MARGIN = 1024, 0.08
+SKETCH, MARGIN = 4096, 0.04
+#: Rows of node ids (under 100 bytes each) that go to every executor at most.
+BROADCAST_ROWS = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -196,8 +199,8 @@ def exact_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def sketched(texts: pd.Series) -> pd.Series:
     """One bit of each of SKETCH coordinates, in longs. Equal bits of two texts: (1 + similarity) / 2 of all."""
     values, out = texts.tolist(), []
-    for at in range(0, len(values), 100):
-        sets = [weighted(shingles(HASH(WORDS.findall(t.lower())))) for t in values[at : at + 100]]
+    for at in range(0, len(values), 50):
+        sets = [weighted(shingles(HASH(WORDS.findall(t.lower())))) for t in values[at : at + 50]]
         bits = (mix(signatures(sets, SKETCH)) & np.uint64(1)).astype(np.uint8)
         out += list(np.packbits(bits, axis=1).view(np.int64))
     return pd.Series(out, dtype=object)
@@ -218,13 +221,15 @@ def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame
     )
     rows = read.select("doc_id", "th", "node")
     nodes = read.groupBy("node").agg(F.min("th").alias("th"), F.first("bands").alias("bands"))
-    banded = written(nodes.select("node", "th", F.explode("bands").alias("bucket")), "bands")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(shared, "bucket"), "members")
-    busy = members.groupBy("node").agg(F.min("th").alias("th"), F.sum("n").alias("busy"))
-    busy = written(busy, "busy")
+    nodes = written(nodes, "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    members = written(banded.join(sized(shared, 2 * BROADCAST_ROWS), "bucket"), "members")
+    busy = written(members.groupBy("node").agg(F.sum("n").alias("busy")), "busy")
+    known_nodes = written(nodes.join(sized(busy, BROADCAST_ROWS), "node"), "known_nodes")
+    wanted = known_nodes.select("node", F.col("th").alias("_th"))
     texts = docs.select(text_of().alias("text")).withColumn("_t", F.md5("text"))
-    texts = texts.join(busy.select("node", F.col("th").alias("_th")), F.col("_t") == F.col("_th"))
+    texts = texts.join(sized(wanted, BROADCAST_ROWS), F.col("_t") == F.col("_th"))
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     # The hub of each bucket, and all of the bucket against it.
     placed = members.select("bucket", "node").join(busy.select("node", "busy"), "node")
@@ -246,15 +251,18 @@ def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame
     open_buckets = open_buckets.filter("n > 1 and odd > 0 and low != high").select("bucket")
     left_over = written(known.filter("near < 1").join(open_buckets, "bucket"), "left_over")
     sketches = left_over.select("node").distinct().join(texts, "node").select("node", sketched("text").alias("sketch"))
+    sketches = sketches.join(known_nodes.select("node", "bands"), "node")
     left_over = left_over.join(written(sketches, "sketches"), "node")
     o, m = left_over.filter(F.col("near") < threshold).alias("o"), left_over.alias("m")
-    differing = sum((F.bit_count(F.get("o.sketch", F.lit(i)).bitwiseXOR(F.get("m.sketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    differing = F.aggregate(F.zip_with("o.sketch", "m.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    common = F.zip_with("o.bands", "m.bands", lambda x, y: F.when(x == y, x))
     rest = o.join(
         m,
         (F.col("o.bucket") == F.col("m.bucket"))
         & (F.col("o.root") != F.col("m.root"))
         & ((F.col("m.near") >= threshold) | (F.col("o.node") < F.col("m.node")))
         & (F.abs(F.col("o.near") - F.col("m.near")) <= 1 - threshold + 1e-9)
+        & (F.get(F.filter(common, lambda x: x.isNotNull()), F.lit(0)) == F.col("o.bucket"))
         & (differing <= int(SKETCH * (1 - threshold + MARGIN) / 2)),
     )
     rest = written(rest.select(F.col("o.node").alias("node"), F.col("m.node").alias("other")).distinct(), "rest")
