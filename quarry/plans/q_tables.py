@@ -6,14 +6,16 @@ import tempfile
 import uuid
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import documents as D
 from quarry.operators import domain, folds
 from quarry.sources import api, crypto
 from quarry.sources.database import Database, recover
 from quarry.sources.schema import Column
-from quarry.sources.versions import ChangeLog, compacted_changes
+from quarry.sources.service import Service
+from quarry.sources.versions import ChangeLog, WriteBuffer, compacted_changes
 from quarry.streaming import stateful
 
 from .q_events import events
@@ -262,6 +264,75 @@ def json_backup(spark, sf_dir):
     return spark.read.schema(nation.schema).json(path)
 
 
+@register("src_checksum", "SELECT n_nationkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS checksum FROM nation")
+def checksum(spark, sf_dir):
+    """A checksum per row of all columns."""
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("checksum"))
+
+
+@register("src_scan_range", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 100 AND 200")
+def scan_range(spark, sf_dir):
+    """A range of keys, pruned by the statistics of row groups."""
+    return query().select("o_orderkey").where_between("o_orderkey", 100, 200).execute(load(spark, sf_dir, "orders"))
+
+
+@register("mor_buffer", LIVE.replace("'again'", "'buffer'"))
+def mor_buffer(spark, sf_dir):
+    """Buffered changes come before those of the log."""
+    log = _log(spark, sf_dir)
+    buffer = WriteBuffer(log, entries=7)
+    for r in load(spark, sf_dir, "events").filter("event_id % 10 = 0").select("event_id").orderBy("event_id").toLocalIterator():
+        buffer.put(r.event_id, {"event_type": "buffer", "n": r.event_id})
+    return buffer.scan().select("_row_id", "event_type", "n")
+
+
+@register("map_merge")
+def map_merge(spark, sf_dir):
+    """Objects merged recursively."""
+    base = F.concat(F.lit('{"a": {"x": 1, "y": 2}, "k": 0, "props": '), F.col("props"), F.lit("}"))
+    return load(spark, sf_dir, "events").select("event_id", D.merged(base, F.lit('{"a": {"y": 3}, "k": {"z": 1}}')).alias("merged"))
+
+
+@register("map_flat_override", "SELECT event_id, CASE WHEN event_type = 'a' THEN 1 ELSE 5 END::BIGINT AS b FROM events")
+def map_flat(spark, sf_dir):
+    base, override = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(5))
+    return load(spark, sf_dir, "events").select("event_id", D.flat_override(base, override)["b"].cast("long").alias("b"))
+
+
+@register("jsn_defaults", "SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k, true AS enabled, 5::BIGINT AS threshold FROM events")
+def json_defaults(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select("event_id", D.with_defaults(F.col("props"), {"k": 0, "enabled": True, "threshold": 5}).alias("s"))
+    return rows.select("event_id", "s.*")
+
+
+@register("jsn_round_trip", "SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events")
+def json_round_trip(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.from_json("props", "k long").alias("s"))).alias("j"))
+    return rows.select("event_id", F.from_json("j", "s struct<k:long>")["s"]["k"].alias("k"))
+
+
+@register("srt_chunks", "SELECT n_nationkey, ((row_number() OVER (ORDER BY n_nationkey) - 1) // 7)::BIGINT AS chunk FROM nation")
+def chunks(spark, sf_dir):
+    """Chunks of seven of a small ordered table."""
+    nation = load(spark, sf_dir, "nation")
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_nationkey"))
+    return nation.select("n_nationkey", F.floor((number - 1) / 7).cast("long").alias("chunk"))
+
+
+@register("hsh_crc32")
+def crc(spark, sf_dir):
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.crc32(F.col("n_name").cast("binary")).alias("crc"))
+
+
+@register("dom_service", "SELECT user_id, sum(15 + event_id % 11)::BIGINT AS total_xp FROM events WHERE user_id % 7 = 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def service_board(spark, sf_dir):
+    """Levels saved in one commit, then the guild's board."""
+    service = Service(Database(spark, scratch(spark, "service")))
+    rows = events(spark, sf_dir).groupBy("guild_id", "user_id").agg(F.sum(15 + F.col("event_id") % 11).alias("total_xp"))
+    service.save_all("user_levels", rows.withColumn("id", F.concat_ws("_", "guild_id", "user_id")))
+    return service.leaderboard(2).select("user_id", "total_xp")
+
+
 # Domain rules.
 @register(
     "dom_permissions",

@@ -119,6 +119,37 @@ class ChangeLog:
         )
 
 
+class WriteBuffer:
+    """An ordered write buffer of changes in memory, flushed to a ChangeLog as a run at a number of
+    entries or bytes. Reads see the buffer before the log."""
+
+    def __init__(self, log: ChangeLog, entries: int = 100_000, size: int = 64 << 20):
+        self.log, self.entries, self.size = log, entries, size
+        self.rows: dict[int, tuple] = {}
+        self.bytes = 0
+        self._last = log._next() - 1
+
+    def put(self, row_id: int, values: dict | None) -> None:
+        """A new version of a row; None deletes it."""
+        self._last += 1
+        fields = self.log.schema.names[len(META) :]
+        self.rows[row_id] = (row_id, self._last, values is None, *[(values or {}).get(f) for f in fields])
+        self.bytes += len(repr(values)) + 24
+        if len(self.rows) >= self.entries or self.bytes >= self.size:
+            self.flush()
+
+    def changes(self) -> DataFrame:
+        return self.log.spark.createDataFrame(sorted(self.rows.values()), self.log.schema)
+
+    def flush(self) -> None:
+        if self.rows:
+            self.log.append(self.changes().coalesce(1))
+            self.rows, self.bytes = {}, 0
+
+    def scan(self) -> DataFrame:
+        return merged(self.changes().unionByName(self.log.changes())) if self.rows else self.log.scan()
+
+
 def compacted_changes(sources: list[DataFrame]) -> DataFrame:
     """Live rows over memory, immutable and disk tables, the first source the newest."""
     from functools import reduce
