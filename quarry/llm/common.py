@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Stands in for a null doc_id where an order is needed: null comes last.
 LAST_ID = (1 << 63) - 1
+#: Temporary folders of local sessions without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
 
 
 def ship(module: str) -> None:
@@ -29,8 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not at:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="quarry-"))
     return at.rstrip("/")
 
 
