@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.8
 COMMON = frozenset("a an and as at by for in is it of on or the this to with".split())
 
@@ -91,7 +90,7 @@ def needed_words(rows: list[tuple[str, list[str]]], threshold: float = THRESHOLD
 
 def units(text: Column) -> Column:
     """array<string> of normalised lines and paragraphs of several lines."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
+    plain = F.lower(F.regexp_replace(text, r"[^A-Za-z0-9\n]+", " "))
     lines = F.split(plain, "\n")
     paragraphs = F.filter(F.split(plain, r"\n(?: ?\n)+"), lambda p: F.trim(p).contains("\n"))
     whole = F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " "))
@@ -147,7 +146,7 @@ def oracle() -> str:
     return rf"""
     WITH known(name, grams) AS (VALUES {known}),
     docs AS (SELECT row_number() OVER () AS row_no, doc_id,
-        regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9\n]+', ' ', 'g') AS plain FROM documents),
+        lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\n]+', ' ', 'g')) AS plain FROM documents),
     pieces AS (
         SELECT row_no, unnest(string_split(plain, chr(10))) AS unit FROM docs
         UNION ALL
