@@ -131,9 +131,15 @@ def replay(spark, path: str, files: int = 1) -> DataFrame:
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that a stream of the data at hand gives, as a table in memory (for tests and small replays)."""
+    spark = stream.sparkSession
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(8, int(partitions))))  # a state store each
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return spark.table(name)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
