@@ -32,6 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last:
             break
         last = state
-    return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    leaves = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    return written(leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")

@@ -277,19 +277,22 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     (texts of other words that its text resembles, among the pairs that were compared), kept; th is the MD5 of the text."""
     rows, pairs = links(docs, threshold)
     ends = pairs.select("node", "other").unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    degree = ends.distinct().groupBy("node").agg(F.count("*").alias("links"))
+    degree = written(ends.distinct().groupBy("node").agg(F.count("*").alias("links")), "degree")
     root = components(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    placed = rows.join(root, "node", "left").join(degree, "node", "left").select(
+    placed = rows.join(sized(root, BROADCAST_ROWS), "node", "left").join(sized(degree, BROADCAST_ROWS), "node", "left").select(
         "doc_id", "th", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")
     )
     placed = written(placed, "classes")
+    # Classes of one row need no join; written tables on both sides let AQE split a hot class.
     group = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.count("*").alias("group_size"))
-    return placed.join(group, "root").select(
+    group = written(group.filter("group_size > 1"), "groups")
+    own = F.col("group_size").isNull()
+    return placed.join(sized(group, BROADCAST_ROWS), "root", "left").select(
         "doc_id",
-        F.col("first.doc_id").alias("class_id"),
-        "group_size",
+        F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
         "links",
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("kept"),
+        (own | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).alias("kept"),
         "th",
     )
 
