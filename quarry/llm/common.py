@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Stands in for a null doc_id where an order is needed: null comes last.
 LAST_ID = (1 << 63) - 1
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Temporary folders of local sessions without spark.checkpoint.dir, by application.
 _OWN: dict[str, str] = {}
 
@@ -24,6 +26,23 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def kept(name: str, make):
+    """make(), kept in this Python worker until another name is asked for: one cache at a time, over
+    tasks. (Functions that are pickled by value get new globals with every task.)"""
+    slot = sys.__dict__.setdefault("_quarry_slot", {})
+    if name not in slot:
+        slot.clear()
+        gc.collect()
+        slot[name] = make()
+    return slot[name]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than by default, as texts may be long; a setting of the caller's stays."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     sc = spark.sparkContext

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, small_batches, text_of
 
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -178,7 +178,7 @@ class Index:
         for text in texts:
             group.append(text)
             size += len(text)
-            if size >= 4_000_000:
+            if size >= 1_000_000:
                 out += self._found(group)
                 group, size = [], 0
         return out + self._found(group)
@@ -230,6 +230,7 @@ def _found_column(shared):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, passage: int = 128) -> Column:
     """array<(item_id, question, answer)> of the items that a row's ``text`` holds."""
+    small_batches(docs.sparkSession)
     columns = []
     for part in index_parts(benchmark, threshold, overlap, passage):
         shared = docs.sparkSession.sparkContext.broadcast(part)

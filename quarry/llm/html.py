@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, small_batches
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -388,6 +388,7 @@ def extract(pages: list[str], trees: Trees) -> list[str]:
 
 
 def main_text(docs: DataFrame, column: str = "html") -> Column:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
 
     @F.pandas_udf("string")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, sized, text_of, written
+from .common import kept, ship, small_batches, sized, text_of, written
 from .graph import components
 
 WORDS = re.compile(r"\w+")
@@ -153,14 +153,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (total - common))
 
 
-HASH = Hasher()
 SIGNED = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
+def hasher() -> Hasher:
+    return kept("words", Hasher)
+
+
 @F.pandas_udf(SIGNED)
 def signed(texts: pd.Series) -> pd.DataFrame:
     """The 16-byte digest of a text's words, and its band keys (none without words)."""
-    nodes, bands = [], []
+    nodes, bands, hashes_of = [], [], hasher()
     values = texts.tolist()
     at = 0
     while at < len(values):
@@ -168,7 +171,7 @@ def signed(texts: pd.Series) -> pd.DataFrame:
         while at < len(values) and size < 1_000_000:
             words = WORDS.findall(values[at].lower())
             nodes.append(blake2b("\x00".join(words).encode("utf-8", "replace"), digest_size=16).digest())
-            group.append(weighted(shingles(HASH(words))))
+            group.append(weighted(shingles(hashes_of(words))))
             size += len(values[at])
             at += 1
         full = [k for k, (e, _) in enumerate(group) if len(e)]
@@ -183,13 +186,14 @@ def signed(texts: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.DoubleType())
 def exact_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     last: dict[str, tuple] = {}
+    hashes_of = hasher()
 
     def of(text: str):
         got = last.get(text)
         if got is None:
             if len(last) > 8:
                 last.pop(next(iter(last)))
-            got = last[text] = weighted(shingles(HASH(WORDS.findall(text.lower()))))
+            got = last[text] = weighted(shingles(hashes_of(WORDS.findall(text.lower()))))
         return got
 
     return pd.Series([similarity(of(x), of(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -198,9 +202,9 @@ def exact_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def sketched(texts: pd.Series) -> pd.Series:
     """One bit of each of SKETCH coordinates, in longs. Equal bits of two texts: (1 + similarity) / 2 of all."""
-    values, out = texts.tolist(), []
+    values, out, hashes_of = texts.tolist(), [], hasher()
     for at in range(0, len(values), 50):
-        sets = [weighted(shingles(HASH(WORDS.findall(t.lower())))) for t in values[at : at + 50]]
+        sets = [weighted(shingles(hashes_of(WORDS.findall(t.lower())))) for t in values[at : at + 50]]
         bits = (mix(signatures(sets, SKETCH)) & np.uint64(1)).astype(np.uint8)
         out += list(np.packbits(bits, axis=1).view(np.int64))
     return pd.Series(out, dtype=object)
@@ -215,6 +219,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, pairs): rows(doc_id, th, node) of every row of docs, pairs(node, other, similarity) that link nodes."""
+    small_batches(docs.sparkSession)
     read = written(
         docs.select("doc_id", F.md5(text_of()).alias("th"), signed(text_of()).alias("s")).select("doc_id", "th", "s.node", "s.bands"),
         "signed",
@@ -299,12 +304,16 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of docs for each class, that of the smallest doc_id; columns unchanged."""
-    stay = classes(docs, threshold).filter("kept").groupBy(F.col("doc_id").alias("__quarry_id"), F.col("th").alias("__quarry_th"))
-    stay = written(stay.agg(F.count("*").alias("__quarry_n")), "stay")
-    met = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__quarry_id")) & (F.md5(text_of()) == F.col("__quarry_th")))
-    if not stay.filter("__quarry_n > 1").isEmpty():  # repeated rows
-        met = met.dropDuplicates(["__quarry_id", "__quarry_th"])
-    return met.select(*[docs[c] for c in docs.columns])
+    key = [F.col("doc_id").alias("__quarry_id"), F.col("th").alias("__quarry_th"), "kept"]
+    every = written(classes(docs, threshold).groupBy(*key).agg(F.count("*").alias("__quarry_n")), "decisions")
+    gone = written(every.filter("not kept").drop("kept", "__quarry_n"), "gone")
+    same = docs["doc_id"].eqNullSafe(F.col("__quarry_id")) & (F.md5(text_of()) == F.col("__quarry_th"))
+    left = docs.join(sized(gone, BROADCAST_ROWS), same, "left_anti")
+    if every.filter("kept and __quarry_n > 1").isEmpty():
+        return left
+    # Repeated rows: one of each stays.
+    marked = left.withColumn("__quarry_th", F.md5(text_of()))
+    return marked.dropDuplicates(["doc_id", "__quarry_th"]).drop("__quarry_th")
 
 
 ship(__name__)

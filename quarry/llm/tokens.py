@@ -12,16 +12,17 @@ or of any name; every row gives one row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import kept, ship, small_batches, text_of
 
 #: Pieces whose counts a worker remembers (memory is bounded by these and PIECE_CHARS).
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 PIECE_CHARS = 64
 
 
@@ -68,7 +69,7 @@ class Counter:
         for text in texts:
             group.append(self.pieces(text))
             size += len(text)
-            if size >= 8_000_000:
+            if size >= 2_000_000:
                 out += self._count(group)
                 group, size = [], 0
         return out + self._count(group)
@@ -86,23 +87,17 @@ class Counter:
         return out
 
 
-_COUNTERS: dict = {}
-
-
 def token_count(spark: SparkSession, text: Column, path: str, cut: str = "space", call_bytes: int = 1 << 18) -> Column:
     """Tokens of a text column by the vocabulary file at ``path``, which the driver reads."""
+    small_batches(spark)
     with open(path, "rb") as f:
         data = f.read()
     shared = spark.sparkContext.broadcast(data if path.endswith(".model") else data.decode())
 
     @F.pandas_udf("long")
     def counted(batches: pd.Series) -> pd.Series:
-        counter = _COUNTERS.get((path, cut))
-        if counter is None:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            counter = _COUNTERS[path, cut] = Counter(shared.value, cut, call_bytes)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        counter = kept(f"tokens {path} {cut}", lambda: Counter(shared.value, cut, call_bytes))
         return pd.Series(counter.count(batches.tolist()), dtype="int64")
 
     return counted(text)

@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of, written
+from .common import kept, ship, small_batches, text_of, written
 
 WORDS = re.compile(r"\w+")
 FOLDS = 5
@@ -90,6 +91,7 @@ def fit(texts: list[np.ndarray], positive: np.ndarray, prior: float, s: Sample)
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Sample) -> tuple[pd.DataFrame, float]:
     """On the driver: (chosen buckets, positive) of at most positives + unlabelled texts, and the prior."""
+    small_batches(docs.sparkSession)
     key = F.xxhash64("doc_id")
     learn = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     n, toxic = learn.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
@@ -104,7 +106,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Sample) -> tuple[pd.D
 
     @F.pandas_udf("array<int>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(f for w in text_words(t) for f in features(w, buckets)) for t in texts])
+        return pd.Series([np.sort(np.array([f for w in text_words(t) for f in features(w, buckets)], np.int32)) for t in texts], dtype=object)
 
     # at most positives + unlabelled ids: a bounded broadcast, and a bounded table
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marks), "doc_id")
@@ -112,10 +114,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Sample) -> tuple[pd.D
     chosen = chosen_buckets(rows, s)
 
     @F.pandas_udf("array<int>")
-    def kept(buckets: pd.Series) -> pd.Series:
-        return pd.Series([b[np.isin(b, chosen)] for b in buckets])
+    def chosen_only(buckets: pd.Series) -> pd.Series:
+        return pd.Series([b[np.isin(b, chosen)] for b in buckets], dtype=object)
 
-    return rows.select(kept("buckets").alias("buckets"), "positive", key.alias("k"), "doc_id").orderBy("positive", "k", "doc_id").select("buckets", "positive").toPandas(), toxic / n
+    return rows.select(chosen_only("buckets").alias("buckets"), "positive", key.alias("k"), "doc_id").orderBy("positive", "k", "doc_id").select("buckets", "positive").toPandas(), toxic / n
 
 
 def chosen_buckets(rows: DataFrame, s: Sample) -> list[int]:
@@ -139,7 +141,7 @@ class Scorer:
         got = self.known.get(w)
         if got is None:
             got = float(self.weights[features(w, len(self.weights))].sum())
-            if len(self.known) < 300_000 and len(w) <= 64:
+            if len(self.known) < 200_000 and len(w) <= 64:
                 self.known[w] = got
         return got
 
@@ -148,9 +150,6 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-_SCORERS: dict = {}
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Column:
     """A score column for rows with a column ``text``, after training on docs and labels."""
     rows, prior = training_sample(docs, labels, sample)
@@ -159,14 +158,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> C
     texts = [np.asarray(x, np.int64) for x in rows.buckets]
     weights, bias = fit(texts, rows.positive.to_numpy(bool), prior, sample)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    name = f"{id(shared)}-{bias!r}"
+    name = f"toxicity {uuid.uuid4()}"
 
     @F.pandas_udf("double")
     def scored(batch: pd.Series) -> pd.Series:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(*shared.value)
-        return batch.map(_SCORERS[name].score).astype("float64")
+        scorer = kept(name, lambda: Scorer(*shared.value))
+        return batch.map(scorer.score).astype("float64")
 
     return scored(text_of())
 

@@ -9,7 +9,7 @@ from .helpers import ODD, documents, words
 
 
 def sets(text):
-    return M.weighted(M.shingles(M.HASH(M.WORDS.findall((text or "").lower()))))
+    return M.weighted(M.shingles(M.hasher()(M.WORDS.findall((text or "").lower()))))
 
 
 def brute(rows, threshold=0.8):
