@@ -11,6 +11,7 @@ from quarry.functions import text as X
 from quarry.functions.numbers import seconds_between
 from quarry.operators import detect, fanout, folds, joins, metrics, placement, similarity
 
+from . import recurrence_sql
 from .registry import load, register
 
 EVENTS = "(SELECT *, user_id % 7 AS guild_id FROM events)"
@@ -188,17 +189,17 @@ def verdict(spark, sf_dir):
     return rows.select("conv_id", "turn", detect.verdict("text", F.col("recent"), ["example.com"], spam=40).alias("verdict"))
 
 
-# Recurrences: sequential, so rows only; tests compare them with plain loops.
-for _name, _keys, _make, _values in [
-    ("lim_token_bucket", ["guild_id"], partial(folds.TokenBucket, 3, 3600.0), []),
-    ("lim_token_bucket_member", ["guild_id", "user_id"], partial(folds.TokenBucket, 1, 86400.0), []),
-    ("lim_sliding_log", ["guild_id"], partial(folds.SlidingLog, 4, 7200.0), []),
-    ("lim_adaptive", ["user_id"], partial(folds.AdaptiveCooldown, 10.0), ["bad"]),
-    ("lim_global", ["guild_id"], partial(folds.GlobalCooldown, 1800.0), []),
-    ("raid_lockdown", ["guild_id"], partial(folds.Lockdown, 5, 7200.0, 14400.0), []),
-    ("mod_points", ["user_id"], folds.Points, ["change"]),
-    ("afk_state", ["user_id"], folds.Away, ["bad"]),
-    ("lvl_stream", ["guild_id", "user_id"], partial(folds.Levels, 15), ["gained"]),
+# Recurrences, against recursive SQL.
+for _name, _keys, _make, _values, _sql in [
+    ("lim_token_bucket", ["guild_id"], partial(folds.TokenBucket, 3, 3600.0), [], recurrence_sql.token_bucket("guild_id", 3, 3600.0)),
+    ("lim_token_bucket_member", ["guild_id", "user_id"], partial(folds.TokenBucket, 1, 86400.0), [], recurrence_sql.token_bucket("guild_id, user_id", 1, 86400.0)),
+    ("lim_sliding_log", ["guild_id"], partial(folds.SlidingLog, 4, 7200.0), [], recurrence_sql.sliding_log("guild_id", 4, 7200.0)),
+    ("lim_adaptive", ["user_id"], partial(folds.AdaptiveCooldown, 10.0), ["bad"], recurrence_sql.adaptive("user_id", 10.0)),
+    ("lim_global", ["guild_id"], partial(folds.GlobalCooldown, 1800.0), [], recurrence_sql.global_cooldown("guild_id", 1800.0)),
+    ("raid_lockdown", ["guild_id"], partial(folds.Lockdown, 5, 7200.0, 14400.0), [], recurrence_sql.lockdown("guild_id", 5, 7200.0, 14400.0)),
+    ("mod_points", ["user_id"], folds.Points, ["change"], recurrence_sql.points("user_id")),
+    ("afk_state", ["user_id"], folds.Away, ["bad"], recurrence_sql.away("user_id")),
+    ("lvl_stream", ["guild_id", "user_id"], partial(folds.Levels, 15), ["gained"], recurrence_sql.levels("guild_id, user_id", 15)),
 ]:
 
     def _fold(spark, sf_dir, keys=_keys, make=_make, values=_values):
@@ -206,7 +207,7 @@ for _name, _keys, _make, _values in [
         out = folds.sequential(rows, keys, make, values)
         return out.select("event_id", *folds.names((make.func if isinstance(make, partial) else make).fields))
 
-    register(_name)(_fold)
+    register(_name, _sql)(_fold)
 
 # Placement.
 RING = placement.Ring({"node-a": 1.0, "node-b": 2.0, "node-c": 0.5})

@@ -18,6 +18,7 @@ from quarry.sources.service import Service
 from quarry.sources.versions import ChangeLog, WriteBuffer, compacted_changes
 from quarry.streaming import stateful
 
+from . import recurrence_sql
 from .q_events import events
 from .query import query
 from .registry import load, register
@@ -438,6 +439,12 @@ STREAM_COLUMNS = {
 _SPAM = "count(*) OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)"
 STREAM_SQL = {
     "stm_spam": f"SELECT event_id, {_SPAM} AS recent FROM events",
+    "stm_token_bucket": recurrence_sql.token_bucket("guild_id", 3, 3600.0),
+    "stm_sliding_log": recurrence_sql.sliding_log("guild_id", 4, 7200.0),
+    "stm_lockdown": recurrence_sql.lockdown("guild_id", 5, 7200.0, 14400.0),
+    "stm_transitions": recurrence_sql.transitions("user_id", "view"),
+    "stm_adaptive": recurrence_sql.adaptive("user_id", 10.0),
+    "stm_afk": recurrence_sql.away("user_id"),
     "stm_strikes": "SELECT event_id, n AS strike, n >= 3 AS escalates FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)",
 }
 for _name, (_keys, _make, _values) in STREAM_COLUMNS.items():
