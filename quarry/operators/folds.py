@@ -207,6 +207,33 @@ def _stream(batches: Iterator[pd.DataFrame], keys: list[str], values: list[str],
         yield batch.drop(columns=["_at", *[c for c in ("_session",) if c in batch]])
 
 
+#: Seconds of a key's events that one task looks at to cut sessions, at least.
+SPLIT_SECONDS = 3600
+
+
+def with_sessions(rows: DataFrame, keys: list[str], gap: float, tie: str) -> DataFrame:
+    """rows(_at in microseconds, ...) with _session, the time at which the key was idle for ``gap`` before.
+
+    A key's time is cut in pieces that look back one gap into the piece before; what a piece hands on
+    is the start of its last session, one row a piece. No key's history meets in one task."""
+    span, width = int(gap * 1e6), int(max(gap, SPLIT_SECONDS) * 1e6)
+    piece = F.floor(F.col("_at") / width).cast("long")
+    copies = F.when((piece + 1) * width - F.col("_at") < span, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    spread = rows.withColumn("_own", piece).withColumn("_piece", F.explode(copies))
+    order = Window.partitionBy(*keys, "_piece").orderBy("_at", tie)
+    fresh = F.coalesce(F.col("_at") - F.lag("_at").over(order) >= span, F.lit(True))
+    spread = spread.withColumn("_start", F.when(fresh & (F.col("_piece") == F.col("_own")), F.col("_at")))
+    spread = spread.withColumn("_inner", F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = spread.filter("_piece = _own")
+    ends = own.groupBy(*keys, "_piece").agg(F.max("_start").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    same = F.col("_piece") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return own.join(handed, same).select(*rows.columns, F.coalesce("_inner", "_carried").alias("_session"))
+
+
 def sequential(events: DataFrame, keys: list[str], make, values: list[str] = (), ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """events with the fields of a recurrence. make: a callable without arguments, such as
     ``partial(TokenBucket, 5, 10.0)``; values: columns given to each step; tie: order of equal times."""
@@ -214,9 +241,7 @@ def sequential(events: DataFrame, keys: list[str], make, values: list[str] = (),
     rows, dealt = events.withColumn("_at", micros(F.col(ts))), list(keys)
     gap = make().gap()
     if gap is not None:
-        order = Window.partitionBy(*keys).orderBy("_at", tie)
-        fresh = F.coalesce(F.col("_at") - F.lag("_at").over(order) >= int(gap * 1e6), F.lit(True))
-        rows = rows.withColumn("_fresh", fresh).withColumn("_session", F.sum(F.col("_fresh").cast("long")).over(order)).drop("_fresh")
+        rows = with_sessions(rows, keys, gap, tie)
         dealt.append("_session")
     rows = rows.repartition(*dealt).sortWithinPartitions(*dealt, "_at", tie)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", " + fields

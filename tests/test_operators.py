@@ -49,6 +49,24 @@ def test_batch_equals_loop(spark, make, values):
     assert got.keys() == want.keys() and all(close(got[i], want[i]) for i in want)
 
 
+@pytest.mark.parametrize("split", [1, 20, 10**6])
+def test_sessions_do_not_depend_on_pieces(spark, monkeypatch, split):
+    """Also with null keys, and sessions that span pieces."""
+    monkeypatch.setattr(folds, "SPLIT_SECONDS", split)
+    events, rows = make_events(spark)
+    events = events.withColumn("guild", F.when(F.col("guild") != 3, F.col("guild")))
+    for gap in (2.0, 30.0):
+        got = {r.event_id: r._session for r in folds.with_sessions(events.withColumn("_at", F.unix_micros("ts")), ["guild"], gap, "event_id").collect()}
+        last, start = {}, {}
+        for i, g, t, _ in rows:
+            at = round(t * 1e6)
+            if g not in last or at - last[g] >= gap * 1e6:
+                start[g] = at
+            last[g] = at
+            assert got[i] == start[g]
+        assert len(got) == len(rows)
+
+
 @pytest.mark.parametrize("watermark", [None, "1 second"])
 @pytest.mark.parametrize("case", [0, 1, 2])
 def test_stream_equals_loop(spark, tmp_path, case, watermark):
