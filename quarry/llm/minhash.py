@@ -47,7 +47,7 @@ BANDS, ROWS = 30, 6
 COORDS = BANDS * ROWS
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Words whose hashes a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Coordinates of the sketches, and the margin of the similarity that they estimate.
 SKETCH, MARGIN = 4096, 0.04
 #: Rows of node ids (under 100 bytes each) that go to every executor at most.

@@ -141,7 +141,7 @@ class Scorer:
         got = self.known.get(w)
         if got is None:
             got = float(self.weights[features(w, len(self.weights))].sum())
-            if len(self.known) < 200_000 and len(w) <= 64:
+            if len(self.known) < 100_000 and len(w) <= 64:
                 self.known[w] = got
         return got
 
