@@ -281,7 +281,7 @@ def scan_range(spark, sf_dir):
 def mor_buffer(spark, sf_dir):
     """Buffered changes come before those of the log."""
     log = _log(spark, sf_dir)
-    buffer = WriteBuffer(log, entries=7)
+    buffer = WriteBuffer(log, entries=400)
     for r in load(spark, sf_dir, "events").filter("event_id % 10 = 0").select("event_id").orderBy("event_id").toLocalIterator():
         buffer.put(r.event_id, {"event_type": "buffer", "n": r.event_id})
     return buffer.scan().select("_row_id", "event_type", "n")

@@ -9,7 +9,7 @@ from quarry.sources import api, crypto
 from quarry.sources.database import Database, TableError, forget, recover
 from quarry.sources.schema import Column
 from quarry.sources.store import Conflict
-from quarry.sources.versions import ChangeLog
+from quarry.sources.versions import ChangeLog, WriteBuffer
 
 COLUMNS = [
     Column("id", "INT64", primary_key=True, auto_increment=True), Column("name", "STRING", nullable=False), Column("xp", "INT32", default=5),
@@ -168,3 +168,15 @@ def test_api(db):
     assert ask("list_tables")["result"]["tables"] == ["users"] and ask("table_info", table="users")["success"] and ask("stats")["success"]
     assert ask("cluster_stats")["success"] and ask("vacuum")["success"]
     assert not ask("nonsense")["success"] and not ask("count", table="none")["success"]
+
+
+def test_write_buffer(spark, tmp_path):
+    """Flushes at its number of entries; reads see the buffer before the log."""
+    log = ChangeLog(spark, f"file://{tmp_path}", T.StructType([T.StructField("v", T.StringType())]))
+    buffer = WriteBuffer(log, entries=3)
+    for i, v in ((1, "a"), (2, "b"), (1, "c"), (3, "d"), (2, None), (1, "e")):
+        buffer.put(i, None if v is None else {"v": v})
+    assert len(buffer.rows) == 2 and log.stats().first().entries == 3
+    assert {(r._row_id, r.v) for r in buffer.scan().collect()} == {(1, "e"), (3, "d")}
+    buffer.flush()
+    assert not buffer.rows and {(r._row_id, r.v) for r in log.scan().collect()} == {(1, "e"), (3, "d")}
