@@ -124,3 +124,30 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lines = F.filter(F.split(text_of(), "\n"), lambda x, k: ~F.coalesce(F.array_contains(drop, k), F.lit(False)))
     kept = F.when(drop.isNull(), docs["text"]).otherwise(F.array_join(lines, "\n"))
     return docs.join(gone, key, "left").select(*[kept.alias(c) if c == "text" else docs[c] for c in docs.columns])
+
+
+def oracle(words: int = WORDS) -> str:
+    """DuckDB SQL of ``line_report`` over documents whose rows differ, by all windows and without fingerprints."""
+    common = "coalesce(nullif(list_position({0}, false), 0) - 1, len({0}))"
+    back = common.format("[coalesce(a.x[w.i - k] = b.x[w.fi - k], false) for k in range(1, least(w.i, w.fi))]")
+    on = common.format("[coalesce(a.x[w.j + k] = b.x[w.fi + w.j - w.i + k], false) for k in range(1, least(len(a.x) - w.j, len(b.x) - (w.fi + w.j - w.i)) + 1)]")
+    return rf"""
+    WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS n, doc_id, coalesce(text, '') AS text FROM documents),
+    split AS (SELECT n, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM docs),
+    lines AS (SELECT n, no, trim(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS x FROM split),
+    full_lines AS (SELECT n, no, x, row_number() OVER (PARTITION BY n ORDER BY no) AS i, len(string_split(x, ' ')) AS w FROM lines WHERE x <> ''),
+    summed AS (SELECT *, sum(w) OVER (PARTITION BY n ORDER BY i) AS upto FROM full_lines),
+    a AS (SELECT n, list(x ORDER BY i) AS x, list(no ORDER BY i) AS no, list(upto ORDER BY i) AS upto FROM summed GROUP BY n),
+    ends AS (SELECT s.n, s.i, list_position([u - s.upto + s.w >= {words} for u in a.upto], true) AS j FROM summed s JOIN a USING (n)),
+    wins AS (SELECT e.n, e.i, e.j, array_to_string(a.x[e.i:e.j], chr(10)) AS content FROM ends e JOIN a USING (n) WHERE e.j > 0),
+    firsts AS (SELECT content, min(row(n, i)) AS f FROM wins GROUP BY content),
+    hits AS (SELECT w.n, w.i, w.j, f[1] AS fn, f[2] AS fi FROM wins w JOIN firsts USING (content) WHERE row(w.n, w.i) <> f),
+    marked AS (SELECT *, coalesce(lag(i) OVER o < i - 1, true) AS starts, coalesce(lead(i) OVER o > i + 1, true) AS stops FROM hits WINDOW o AS (PARTITION BY n ORDER BY i)),
+    numbered AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY n ORDER BY i) AS stretch FROM marked),
+    reach AS (SELECT w.n, w.stretch, w.i - CASE WHEN starts THEN {back} ELSE 0 END AS low, w.j + CASE WHEN stops THEN {on} ELSE 0 END AS high
+        FROM numbered w JOIN a ON a.n = w.n JOIN a b ON b.n = w.fn WHERE starts OR stops),
+    runs AS (SELECT n, stretch, min(low) AS low, max(high) AS high FROM reach GROUP BY n, stretch),
+    removed AS (SELECT r.n, string_agg(a.no[r.low] || '-' || a.no[r.high], ',' ORDER BY r.low, r.high) AS removed FROM runs r JOIN a USING (n) GROUP BY r.n),
+    gone AS (SELECT f.n, count(*) AS n_removed FROM full_lines f WHERE EXISTS (SELECT 1 FROM runs r WHERE r.n = f.n AND f.i BETWEEN r.low AND r.high) GROUP BY f.n)
+    SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+    FROM docs LEFT JOIN gone USING (n) LEFT JOIN removed USING (n)"""

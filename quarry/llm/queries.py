@@ -78,6 +78,7 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM t JOIN g USING (text_sha256)""",
+    "op3_line_dedup": lines.oracle(),
     "op4_license_scan": licenses.oracle(),
     "op5_secret_scan": secrets.oracle(),
 }

@@ -3,8 +3,11 @@ import re
 
 from quarry.llm import lines
 
+from ..oracle import compare, connection
 from .helpers import ODD, documents
 
+SF = "/root/testdata/sf0.001"
+
 
 def brute(docs, least=50):
     """Deleted line numbers per document, in order of doc_id: repeated windows, stretches extended both ways."""
@@ -75,3 +78,7 @@ def test_odd_rows(spark):
     kept = lines.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(ODD)
     assert lines.line_report(documents(spark, [])).count() == 0
+
+
+def test_equals_sql(spark):
+    compare(spark, connection(SF), "op3", lambda s, d: lines.line_report(s.read.parquet(f"{d}/documents.parquet")), lines.oracle(), SF)
