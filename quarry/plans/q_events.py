@@ -11,7 +11,7 @@ from quarry.functions import text as X
 from quarry.functions.numbers import seconds_between
 from quarry.operators import detect, fanout, folds, joins, metrics, placement, similarity
 
-from . import recurrence_sql
+from . import q_text, recurrence_sql
 from .registry import load, register
 
 EVENTS = "(SELECT *, user_id % 7 AS guild_id FROM events)"
@@ -182,7 +182,16 @@ def violation_reset(spark, sf_dir):
     return rows.select("event_id", (F.col("number") % 3 == 0).alias("mutes"))
 
 
-@register("txt_verdict")
+def _over(sql: str) -> str:
+    return sql.replace("(t,", "(text,").replace("(t)", "(text)")
+
+
+@register(
+    "txt_verdict",
+    f"SELECT conv_id, turn, CASE WHEN turn >= 40 THEN 'spam' WHEN {_over(q_text.CAPS)} THEN 'excessive caps' WHEN len(regexp_extract_all(text, '{q_text.RE_INVITE}')) > 0 THEN 'invite link' "
+    f"WHEN len(regexp_extract_all(text, '{X.URL}')) > 0 AND len(list_filter(regexp_extract_all(text, '{X.URL}'), lambda u: contains(u, 'example.com'))) = 0 THEN 'unauthorized link' "
+    f"WHEN {_over(q_text.COUNT_EMOJI)} > 10 THEN 'emoji spam' WHEN {_over(q_text.MASS)} THEN 'mass mentions' WHEN length(text) - length(replace(text, chr(10), '')) > 10 THEN 'newline spam' END AS verdict FROM conversations",
+)
 def verdict(spark, sf_dir):
     """The first violation of each message in order."""
     rows = load(spark, sf_dir, "conversations").withColumn("recent", F.col("turn"))

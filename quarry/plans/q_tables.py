@@ -287,7 +287,7 @@ def mor_buffer(spark, sf_dir):
     return buffer.scan().select("_row_id", "event_type", "n")
 
 
-@register("map_merge")
+@register("map_merge", """SELECT event_id, '{"a":{"x":1,"y":3},"k":{"z":1},"props":{"k":' || json_extract_string(props, '$.k') || '}}' AS merged FROM events""")
 def map_merge(spark, sf_dir):
     """Objects merged recursively."""
     base = F.concat(F.lit('{"a": {"x": 1, "y": 2}, "k": 0, "props": '), F.col("props"), F.lit("}"))
