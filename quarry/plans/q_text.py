@@ -164,7 +164,7 @@ for _name, _sql, _column in [
     )
 
 register("lvl_from_xp", LEVEL_SQL.replace("SELECT event_id, level,", "SELECT event_id, level::BIGINT AS level,", 1))(
-    lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", N.level_of(F.col("event_id") * 37).alias("l")).filter(F.col("event_id") * 37 < 40_000_000).select("event_id", "l.level", "l.rest")
+    lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", N.level_of(F.col("event_id") * 37).alias("l")).select("event_id", "l.level", "l.rest")
 )
 
 DURATIONS = ["10s", "5m", "2h 30m", "1d12h", "1w", "1mo", "90", "abc", "", "1mo 5m", "3 hours", "-5", "45 min 10 sec"]

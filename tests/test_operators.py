@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import hashing, numbers, text
 from quarry.operators import detect, fanout, folds, placement
+from quarry.plans import catalogue
 from quarry.streaming import stateful
 
 EVENTS = "event_id long, guild long, ts timestamp, bad boolean"
@@ -144,6 +145,20 @@ def test_levels(spark):
     assert got == {t: climb(t) for t in totals}
 
 
+def test_levels_of_all_events(spark, tmp_path):
+    """Also of events past the levels that the query's SQL lists."""
+    ids = [0, 4, 5, 1_081_081, 1_081_082, 40_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = set()
+    for i in ids:
+        level, rest = 0, i * 37
+        while rest >= (c := 5 * (level + 1) ** 2 + 50 * (level + 1) + 100):
+            rest -= c
+            level += 1
+        want.add((i, level, rest))
+    assert {tuple(r) for r in catalogue.QUERIES["lvl_from_xp"](spark, str(tmp_path)).collect()} == want
+
+
 def test_normalisation(spark):
     rows = [("ｈ３ｌｌｏ", "hello"), ("h́éllo", "hello"), ("𝐡𝐞𝐥𝐥𝐨", "hello"), ("a b c", "ab c"), ("/\\x|\\/|", "axm"), ("$p4m", "spam")]
     got = spark.createDataFrame(rows, "t string, want string").select("t", "want", text.normalised("t").alias("got")).collect()
