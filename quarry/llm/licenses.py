@@ -8,6 +8,11 @@ threshold / (2 - threshold) of the unit's, either way, are compared. A unit that
 that part of the template's bigrams, so each template has a few words of which it must hold one;
 units with no such word of any template are not taken apart into bigrams.
 
+``within`` also looks inside the units, for templates that the whole unit does not match: a run of words,
+of at most twice the template's bigrams, that reaches the threshold makes the unit match. A run of a paragraph counts if it spans a line
+end and no run of that template within one of the paragraph's lines is as good. Only units with the part of the template's
+bigrams that a match needs are searched.
+
 Defined cases: a null text counts as empty and matches nothing; units of fewer than two words have
 no bigrams and match nothing; every row gives one row, repeated rows alike; doc_id may be null; of
 templates of equal coefficient the first by name is the best; other columns are ignored.
@@ -88,13 +93,20 @@ def needed_words(rows: list[tuple[str, list[str]]], threshold: float = THRESHOLD
     return sorted(out)
 
 
+def _breaks(unit: Column) -> Column:
+    """Of a paragraph, the places of the bigrams that span a line end; an empty array of a line."""
+    sizes = F.transform(F.filter(F.transform(F.split(unit, "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.size(F.split(x, " ")))
+    upto = _bind(sizes, lambda n: F.transform(F.slice(n, 1, F.size(n) - 1), lambda _, k: F.aggregate(F.slice(n, 1, k + 1), F.lit(0), lambda a, x: a + x)))
+    return F.when(unit.contains("\n"), upto).otherwise(F.array().cast("array<int>"))
+
+
 def units(text: Column) -> Column:
-    """array<string> of normalised lines and paragraphs of several lines."""
+    """array<string> of normalised lines and paragraphs of several lines; the lines of a paragraph end with a line end."""
     plain = F.lower(F.regexp_replace(text, r"[^A-Za-z0-9\n]+", " "))
     lines = F.split(plain, "\n")
     paragraphs = F.filter(F.split(plain, r"\n(?: ?\n)+"), lambda p: F.trim(p).contains("\n"))
-    whole = F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " "))
-    return F.filter(F.transform(F.concat(lines, whole), lambda u: F.trim(u)), lambda u: u.contains(" "))
+    whole = F.transform(paragraphs, lambda p: F.regexp_replace(p, r" ?\n ?", "\n"))
+    return F.filter(F.transform(F.concat(lines, whole), lambda u: F.trim(u)), lambda u: F.trim(F.translate(u, "\n", " ")).contains(" "))
 
 
 def _bind(value: Column, use) -> Column:
@@ -102,26 +114,64 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_units, n_matches, best (name of the likeliest licence, or null), best_dice, licences (names, sorted)."""
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, within: bool = False) -> DataFrame:
+    """doc_id, n_units, n_matches, best (name of the likeliest licence, or null), best_dice, licences (names, sorted).
+
+    ``within``: also the runs of words within each unit."""
     rows = template_rows(templates)
     least = threshold / (2 - threshold)
-    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for n, g in rows])
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams"), F.array(*map(F.lit, needed_words([(n, g)], threshold))).alias("needed")) for n, g in rows])
     low, needed = least * min(len(g) for _, g in rows), F.array(*map(F.lit, needed_words(rows, threshold)))
 
+    def dice(grams: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(grams, t["grams"])) * F.lit(2.0) / (F.size(grams) + t["n"])
+
+    def whole(grams: Column) -> Column:
+        near = F.filter(known, lambda t: (t["n"] >= F.size(grams) * least) & (F.size(grams) >= t["n"] * least))
+        scored = F.transform(near, lambda t: F.struct(dice(grams, t).alias("dice"), t["name"].alias("name")))
+        return F.filter(scored, lambda s: s["dice"] >= threshold)
+
+    def runs(unit: Column, pairs: Column, t: Column) -> Column:
+        """The largest coefficient of a run, or null. The best run starts and ends with a bigram of the template.
+        A paragraph's best run must span a line end: else it is one of that line's."""
+        at = F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda i: F.array_contains(t["grams"], F.get(pairs, i - 1)))
+
+        def best_of(at: Column, breaks: Column) -> Column:
+            def from_start(i: Column) -> Column:
+                ends = F.filter(at, lambda j: (j >= i - 1 + t["n"] * least - 1e-9) & (j < i + 2 * t["n"]))
+                return F.transform(
+                    ends,
+                    lambda j: F.struct(
+                        dice(F.array_distinct(F.slice(pairs, i, j - i + 1)), t).alias("dice"),
+                        (unit.contains("\n") & ~F.exists(breaks, lambda k: (i <= k) & (k <= j))).alias("in_line"),
+                    ),
+                )
+
+            return F.array_max(F.flatten(F.transform(at, from_start)))
+
+        best = _bind(at, lambda at: _bind(_breaks(unit), lambda breaks: best_of(at, breaks)))
+        return _bind(best, lambda x: F.when((x["dice"] >= threshold) & ~x["in_line"], x["dice"]))
+
+    def inside(unit: Column, words: Column, pairs: Column, grams: Column) -> Column:
+        """Templates most of whose bigrams the unit has, but that it does not match as a whole."""
+        near = F.filter(known, lambda t: (F.size(grams) >= t["n"] * least - 1e-9) & F.arrays_overlap(words, t["needed"]))
+        near = F.filter(near, lambda t: (F.size(F.array_intersect(t["grams"], grams)) >= t["n"] * least - 1e-9) & (dice(grams, t) < threshold))
+        scored = F.transform(near, lambda t: F.struct(runs(unit, pairs, t).alias("dice"), t["name"].alias("name")))
+        return F.filter(scored, lambda s: s["dice"].isNotNull())
+
     def matched(unit: Column) -> Column:
         def of_words(words: Column) -> Column:
-            pairs = F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-
-            def of_grams(grams: Column) -> Column:
-                near = F.filter(known, lambda t: (t["n"] >= F.size(grams) * least) & (F.size(grams) >= t["n"] * least))
-                scored = F.transform(near, lambda t: F.struct((F.size(F.array_intersect(grams, t["grams"])) * F.lit(2.0) / (F.size(grams) + t["n"])).alias("dice"), t["name"].alias("name")))
-                return F.filter(scored, lambda s: s["dice"] >= threshold)
+            def of_pairs(pairs: Column) -> Column:
+                return _bind(F.array_distinct(pairs), lambda grams: F.concat(whole(grams), inside(unit, words, pairs, grams)) if within else whole(grams))
 
             # no fewer words than bigrams + 1: units too short for every template end here
-            return F.when((F.size(words) - 1 >= low) & F.arrays_overlap(words, needed), _bind(pairs, of_grams))
+            return F.when((F.size(words) - 1 >= low) & F.arrays_overlap(words, needed), _bind(_pairs(words), of_pairs))
 
-        return _bind(F.split(unit, " "), of_words)
+        return _bind(F.split(F.trim(F.translate(unit, "\n", " ")), " "), of_words)
 
     found = docs.select("doc_id", units(text_of()).alias("units"))
     found = found.select(

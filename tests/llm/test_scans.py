@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quarry.llm import licenses, secrets
+from quarry.llm import licenses, queries, secrets
 
 from ..oracle import compare, connection
 from .helpers import ODD, documents
@@ -88,6 +88,33 @@ def test_licences_equal_python(spark):
         assert got[i].best == (min(n for d, n in every if d == max(every)[0]) if every else None)
 
 
+def test_licences_within_units(spark, tmp_path):
+    """Notices that share their line, or are wrapped, in the registered query."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [
+        (1, "This project is released under the MIT License.", "MIT", 1),
+        (2, f"Copyright (c) 2020 Example Inc. {mit}", "MIT", 1),
+        (3, "Licensed under CC BY 4.0. All rights reserved by the author.", "CC-BY-4.0", 1),
+        (4, f"Copyright 2020 Foo. {apache} See LICENSE.", "Apache-2.0", 1),
+        (5, f"one line of other words\n{apache.replace('Apache ', 'Apache' + chr(10))}\nand one more line of words", "Apache-2.0", 1),
+        (6, f"one line of other words\n{mit}\n{mit}\nand one more line of quite other words here", "MIT", 2),
+        (7, f"{mit} {apache}", "Apache-2.0,MIT", 1),
+        (8, "the license of this version is not released under any terms", "", 0),
+        (9, mit, "MIT", 1),
+    ]
+    documents(spark, [(i, t) for i, t, _, _ in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.licences, r.n_matches) for r in queries.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: (names, n) for i, _, names, n in rows}
+    plan = queries.op4_license_scan(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_licence_query_equals_sql(spark, sf):
+    where = f"/root/testdata/{sf}"
+    compare(spark, connection(where), "op4", queries.op4_license_scan, licenses.oracle(), where)
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD).withColumnRenamed("lang", "units")
     assert licenses.scan(docs).count() == secrets.scan(docs).count() == len(ODD)
