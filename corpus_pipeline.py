@@ -28,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item, also none with edits."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"), edited=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

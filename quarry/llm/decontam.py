@@ -11,6 +11,10 @@ the commonest that hold up to half the threshold. A retrieved item is verified o
 (all but the last sentence, or the first two thirds) and of its answer (the rest), ``overlap`` of the
 word five-grams each must occur (of shorter ones the words as a run).
 
+``edited`` also takes an item that a passage holds with edits: of a run of the passage, of at most 1 / ``overlap``
+times the item's words, ``overlap`` of the item's words are in their order there, and ``PART`` of the question's and
+of the answer's. The shares reported are then of words.
+
 The index goes to the executors in parts of at most ``ITEMS`` items and ``ITEM_CHARS`` characters, one pass
 over the passages each.
 
@@ -41,6 +45,8 @@ ITEMS = 20_000
 ITEM_CHARS = 8_000_000
 BLOCK = 16
 K1, B = 1.2, 0.75
+#: Least share of the words of an edited item's question and of its answer.
+PART = 0.5
 HITS = "array<struct<item_id:long,question:double,answer:double>>"
 
 
@@ -62,11 +68,42 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def common_in_order(part: list[str], run: list[str]) -> list[int]:
+    """Length of the longest common subsequence of part and the first 0, 1, ... words of run, by bits."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(part):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(part)) - 1
+    v, out = full, [0]
+    for w in run:
+        u = v & places.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        out.append(len(part) - v.bit_count())
+    return out
+
+
+def edited_shares(question: list[str], answer: list[str], passage: list[str], overlap: float) -> tuple[float, float] | None:
+    """Shares of the question's and the answer's words in order, the best of all runs of the passage, or none."""
+    least, size = overlap * (len(question) + len(answer)) - 1e-9, int((len(question) + len(answer)) / overlap + 1e-9)
+    mine, best, most = {*question, *answer}, None, 0
+    here = [w in mine for w in passage]
+    for at in range(len(passage)):
+        if not here[at] or sum(here[at : at + size]) < max(least, most + 1):
+            continue
+        run = passage[at : at + size]
+        first = common_in_order(question, run)
+        rest = common_in_order(answer[::-1], run[::-1])[::-1]
+        for q, a in zip(first, rest, strict=True):
+            if q + a >= least and q + a > most and q >= PART * len(question) and a >= PART * len(answer):
+                best, most = (q / len(question), a / len(answer) if answer else q / len(question)), q + a
+    return best
+
+
 class Index:
     """Postings of one part of the items. items: (item_id, text)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float, overlap: float, passage: int):
-        self.threshold, self.overlap = threshold, overlap
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float, overlap: float, passage: int, edited: bool = False):
+        self.threshold, self.overlap, self.edited = threshold, overlap, edited
         self.ids, self.parts = [], []
         bags: list[Counter] = []
         for item_id, text in items:
@@ -147,8 +184,8 @@ class Index:
             order = sorted(left, key=lambda t: self.docs[t][at[t]])
         return out
 
-    def passages(self, ids: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
-        """By text, the terms of its passages that can reach the threshold. ids: the terms of each text's words."""
+    def passages(self, ids: list[np.ndarray]) -> dict[int, list[tuple[int, np.ndarray]]]:
+        """By text, the start and the terms of its passages that can reach the threshold. ids: the terms of each text's words."""
         step, v, n = self.passage // 2, len(self.rare_n), len(self.ids)
         halves = np.array([-(-len(x) // step) for x in ids], np.int64)
         base = halves.cumsum() - halves
@@ -163,12 +200,12 @@ class Index:
         inner = ~np.isin(key // n, base)
         key, back = np.unique(np.concatenate([key, key[inner] - n]), return_inverse=True)
         share = np.bincount(back, np.concatenate([share, share[inner]]), len(key))
-        out: dict[int, list[np.ndarray]] = {}
+        out: dict[int, list[tuple[int, np.ndarray]]] = {}
         for h in np.unique(key[share + self.common[key % n] >= self.threshold - 1e-9] // n):
             text = int(np.searchsorted(base, h, "right")) - 1
             start = int(h - base[text]) * step
             terms = np.unique(ids[text][start : start + self.passage])
-            out.setdefault(text, []).append(terms[terms < len(self.terms)])
+            out.setdefault(text, []).append((start, terms[terms < len(self.terms)]))
         return out
 
     def found(self, texts: list[str]) -> list[list[tuple[int | None, float, float]]]:
@@ -184,13 +221,16 @@ class Index:
         return out + self._found(group)
 
     def _found(self, texts: list[str]) -> list[list[tuple[int | None, float, float]]]:
-        get, none = self.terms.get, len(self.terms)
+        get, none, more = self.terms.get, len(self.terms), self.passage // 4  # edits may carry an item over a passage's ends
         ids = [np.array([get(w, none) for w in words_of(t)], np.int64) for t in texts]
         out: list[list] = [[] for _ in texts]
         if not sum(map(len, ids)) or not self.ids:
             return out
         for k, passages in self.passages(ids).items():
-            retrieved = {d for terms in passages for d in self.search(terms.tolist())}
+            retrieved: dict[int, list[int]] = {}
+            for start, terms in passages:
+                for d in self.search(terms.tolist()):
+                    retrieved.setdefault(d, []).append(start)
             words = words_of(texts[k]) if retrieved else []
             have: dict[int, set] = {}
             for d in sorted(retrieved):
@@ -202,10 +242,15 @@ class Index:
                     shares.append(len(wanted & have[n]) / len(wanted))
                 if min(shares) >= self.overlap:
                     out[k].append((self.ids[d], shares[0], shares[-1]))
+                elif self.edited:
+                    parts = [part for part, _ in self.parts[d]]
+                    runs = [edited_shares(parts[0], parts[1] if len(parts) > 1 else [], words[max(0, at - more) : at + self.passage + more], self.overlap) for at in retrieved[d]]
+                    if any(runs):
+                        out[k].append((self.ids[d], *max(r for r in runs if r)))
         return out
 
 
-def index_parts(benchmark: DataFrame, threshold: float, overlap: float, passage: int) -> Iterator[Index]:
+def index_parts(benchmark: DataFrame, threshold: float, overlap: float, passage: int, edited: bool = False) -> Iterator[Index]:
     """The items stream through the driver, one bounded part at a time; equal rows are one item."""
     rows = benchmark.select("item_id", text_of().alias("text")).distinct().orderBy(F.col("item_id").asc_nulls_last(), "text")
     part, chars = [], 0
@@ -213,10 +258,10 @@ def index_parts(benchmark: DataFrame, threshold: float, overlap: float, passage:
         part.append((r["item_id"], r["text"]))
         chars += len(r["text"])
         if len(part) >= ITEMS or chars >= ITEM_CHARS:
-            yield Index(part, threshold, overlap, passage)
+            yield Index(part, threshold, overlap, passage, edited)
             part, chars = [], 0
     if part:
-        yield Index(part, threshold, overlap, passage)
+        yield Index(part, threshold, overlap, passage, edited)
 
 
 def _found_column(shared):
@@ -228,11 +273,11 @@ def _found_column(shared):
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, passage: int = 128) -> Column:
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, passage: int = 128, edited: bool = False) -> Column:
     """array<(item_id, question, answer)> of the items that a row's ``text`` holds."""
     small_batches(docs.sparkSession)
     columns = []
-    for part in index_parts(benchmark, threshold, overlap, passage):
+    for part in index_parts(benchmark, threshold, overlap, passage, edited):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         columns.append(_found_column(shared)(text_of()))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import decontam, exact, minhash, mixing, tokens, toxicity
+from quarry.llm import decontam, exact, minhash, mixing, queries, tokens, toxicity
 
 from .helpers import ODD, documents, words
 
@@ -78,6 +78,26 @@ def test_leaks_in_parts_and_empty(spark, monkeypatch):
     assert decontam.without_leaks(docs, benchmark.limit(0)).count() == 25
 
 
+def test_edited_leaks(spark, tmp_path):
+    """One word replaced within a short answer, and one left out; shuffled words and a lone question are no leak."""
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, 14, 3000)) + ". " + " ".join(words(rng, 7, 3000)) + ".") for i in range(30)]
+    own = [decontam.words_of(t) for _, t in items]
+    around = words(rng, 100, 3000)
+    rows = []
+    for i, w in enumerate(own):
+        rows.append((i, " ".join([*around, *w[:17], "zz", *w[18:], *around])))
+        rows.append((100 + i, " ".join([*w[:10], *w[11:]])))
+        rows.append((200 + i, " ".join([*around, *rng.sample(w, len(w))])))
+        rows.append((300 + i, " ".join([*around, *w[:14], *around])))
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(k + i, i) for i in range(30) for k in (0, 100)}
+    assert {(r.doc_id, r.item_id) for r in queries.op8_decontaminate(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()} == {k + i for i in range(30) for k in (200, 300)}
+
+
 def test_targets():
     assert mixing.targets([("a", 100), ("b", 100), ("c", 100)]) == pytest.approx([200, 83.3333333, 166.6666667])
     assert mixing.targets([("a", 10), ("b", 1000)]) == pytest.approx([20, 1495])
