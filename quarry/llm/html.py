@@ -1,6 +1,6 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes.
 
-A tolerant parser (implied end tags, raw-text elements, cut-off pages) builds the tree of block
+A tolerant parser (implied end tags, raw-text elements, excluded subtrees, cut-off pages) builds the tree of block
 elements; runs of text between blocks are nodes of their own, and inline markup belongs to the
 block around it. Each node has features: text and link lengths and density of its subtree, tags,
 words of its id and class attributes (and of its ancestors'), depth, place among siblings and
@@ -34,7 +34,9 @@ ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 TOKEN = re.compile(r"[a-z]+")
 # Fixed values of the language: elements without content, with raw text, and that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select option button".split())
+RAW = frozenset("script style textarea title".split())
+#: Elements whose subtrees hold no text of the page.
+EXCLUDED = frozenset("noscript template iframe svg select optgroup option button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag that ends an open element of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -47,6 +49,10 @@ WORD_FAMILIES = [
     "footer copyright legal", "header masthead topbar", "sidebar aside widget rail", "cookie consent notice alert popup modal gdpr message warning",
     "form search login signup subscribe newsletter", "share social related recommended tags pagination pager", "article content main post entry story body text",
 ]
+#: Opening tags that end an excluded element left open: any block ends an image or a list of options; a part of the page ends a button.
+BLOCKS = frozenset(t for f in TAG_FAMILIES for t in f.split()) - {"#text"}
+PARTS = frozenset("article aside body footer form header main nav section table".split())
+LISTS = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "button": {"button"}, "select": {"select", "optgroup", "option"}}
 _TAG_OF = {t: k for k, f in enumerate(TAG_FAMILIES) for t in f.split()}
 _WORD_OF = {w: k for k, f in enumerate(WORD_FAMILIES) for w in f.split()}
 
@@ -74,13 +80,26 @@ def attribute_words(attributes: str) -> int:
     return bits
 
 
+def ends_excluded(open_tags: list[str], tag: str) -> bool:
+    """Whether an opening tag stands after the excluded element (the first of its open tags), which was not closed."""
+    outer = open_tags[0]
+    if outer == "svg":
+        return tag in BLOCKS and "foreignobject" not in open_tags
+    if outer == "button":
+        return tag in PARTS or (tag in CLOSES and SCOPE.isdisjoint(open_tags))
+    return outer in LISTS and tag in BLOCKS
+
+
 def parse(page: str) -> list[Node]:
-    """The nodes in page order, the root first. Inline elements are part of the text around them."""
+    """The nodes in page order, the root first. Inline elements are part of the text around them, and excluded ones leave nothing."""
     root = Node("#root", None)
     nodes, here, run, in_link, at = [root], root, None, 0, 0
+    out_of: list[str] = []  # the open tags of an excluded subtree
 
     def put(text: str) -> None:
         nonlocal run
+        if out_of:
+            return
         if run is None:
             if not text.strip():
                 return
@@ -107,6 +126,30 @@ def parse(page: str) -> list[Node]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if out_of and m[1]:
+            if tag in out_of:
+                del out_of[len(out_of) - 1 - out_of[::-1].index(tag) :]
+                continue
+            node = here
+            while node.parent and node.tag != tag and not (tag == "p" and node.tag in SCOPE):
+                node = node.parent
+            if tag in INLINE or tag in EXCLUDED or node.tag != tag:
+                in_link = 0 if tag == "a" else in_link
+                continue
+            out_of.clear()  # the end of an element around it
+        elif out_of:
+            if ends_excluded(out_of, tag):
+                out_of.clear()
+            else:
+                while out_of and out_of[-1] in LISTS.get(tag, ()):
+                    out_of.pop()
+                if tag not in VOID and not m[3].rstrip().endswith("/"):
+                    out_of.append(tag)
+                continue
+        elif tag in EXCLUDED:
+            if not m[1] and not m[3].rstrip().endswith("/"):
+                out_of.append(tag)
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if m[1] else 1

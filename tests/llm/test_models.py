@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import html, toxicity
@@ -107,3 +108,22 @@ def test_decoding_is_consistent():
 def test_parser_gives_all_text():
     page = "a<p>b<p>c<div>d<span>e</span>f</div><ul><li>g<li>h</ul><table><tr><td>i<td>j</table><!-- no -->k<script>no</script>&#65;"
     assert [" ".join("".join(n.text).split()) for n in html.parse(page) if n.tag == "#text"] == ["a", "b", "c", "def", "g", "h", "i", "j", "kA"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("a<datalist id=x><option value=a>1<option value=b>2</datalist><p>b<p>c", ["a", "b", "c"]),
+        ("<header>a<button>menu</header><p>b</p><button>more</button><p>c", ["a", "b", "c"]),
+        ("<header>a<svg><path d='x'><g></header><main><p>b</main>c", ["a", "b", "c"]),
+        ("a<svg><title>t</title><path><p>b</p>", ["a", "b"]),
+        ("<div>a<select><option>1<option>2</div><p>b", ["a", "b"]),
+        ("<div><iframe src=x></div><p>a<noscript><div><img></div>no</noscript>b", ["ab"]),
+        ("<ul><li>a<button>x<li>b<button><div>y</div></button>c</ul><button>z<main>d</main>", ["a", "bc", "d"]),
+        ("a <select><optgroup><option>1</option></optgroup><option>2</select> b", ["a b"]),
+        ("<div>a<button><div>x</div><ul><li>y</ul></button>b</div>c<svg/>d", ["ab", "cd"]),
+        ("<div><template><div>x</div></template>a<script>var s = '<p>';</script></div>", ["a"]),
+    ],
+)
+def test_excluded_subtrees_take_nothing_else(page, want):
+    assert [" ".join("".join(n.text).split()) for n in html.parse(page) if n.tag == "#text"] == want
