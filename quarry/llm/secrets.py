@@ -3,13 +3,14 @@
 Three plain kinds are found by pattern, leftmost and non-overlapping: assign (a key word with a
 value of 6 or more characters), access (AKIA..., 20 or more), hex (24 or more). To these, kind
 markov adds runs of 20 or more characters of A-Za-z0-9+/_=- that a Markov model of random strings
-explains better than one of ordinary identifiers: both are bigram models over 30 character classes,
-trained with add-one smoothing from labelled samples, and the sum of their log-likelihood ratios,
-in thousandths of a nat, must reach ``limit``. A markov span within a span of the other kinds is
-left out.
+explains better than one of ordinary identifiers: both are models of character pairs, trained with
+smoothing from labelled samples. The sum of their log-likelihood ratios, in thousandths of a nat,
+must reach ``limit``, and ``each`` for every pair of the run, so that a long run needs more than a short
+one. A markov span within a span of the other kinds is left out.
 
 Positions are in code points, ends exclusive. Spans are listed as kind:start:end by start, then by
-kind in the order assign, access, hex, markov.
+kind in the order assign, access, hex, markov. Positions are prefix sums, made in blocks of matches,
+so a text of many matches costs little more than its length.
 
 Defined cases: a null text counts as empty and has no spans; every row gives one row, repeated
 rows alike; doc_id may be null; other columns are ignored; an empty table gives an empty result.
@@ -37,10 +38,14 @@ VALUE_LENGTH = 6
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 DIGITS = "0123456789"
-#: Classes: each lower-case letter, then upper case, digit, symbol, joint.
-CLASSES = LOWER + "UDSJ"
-OF_CHAR = (UPPER + DIGITS + "+/=" + "_-", "U" * 26 + "D" * 10 + "SSS" + "JJ")
-LIMIT = 12_000
+#: The characters of a run, each a state of the models.
+ALPHABET = UPPER + LOWER + DIGITS + "+/_=-"
+#: Least sum, and least mean by pair, of the ratios.
+LIMIT, EACH = 12_000, 450
+#: Weight of the smoothing: pairs that a character is taken to have been seen in beside the samples'.
+SMOOTH = 20.0
+#: Matches in a block of a prefix sum.
+BLOCK = 256
 
 #: Parts of ordinary identifiers, for the default labelled samples.
 PARTS = (
@@ -60,44 +65,71 @@ PARTS = (
 ).split()
 
 
-def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
-    """Generated (string, is random): keys in usual alphabets, and identifiers of usual styles."""
+#: Words of further languages.
+FOREIGN = (
+    "abteilung anwendung arbeit aufgabe ausgabe benutzer bericht daten einstellung entwicklung ergebnis fehler fenster "
+    "geschwindigkeit gesellschaft konfiguration lichkeit nachricht rechnung schnittstelle sicherheit speicher "
+    "sprache verbindung verwaltung wirtschaft zeitung zusammenarbeit affaires ailleurs application bibliotheque "
+    "bureau chercher connaissance developpement donnees entreprise fichier gouvernement lendemain ordinateur question "
+    "quelque reponse travail utilisateur administracion aplicacion archivo carpeta conocimiento desarrollo empresa "
+    "especialmente gobierno informacion mensaje pregunta respuesta trabajo usuario ventana"
+).split()
+
+
+def _ordinary(rng: random.Random, style: int) -> str:
+    """An identifier, constant, path, rule, date or word of a style of its own."""
+    parts = [rng.choice(PARTS) for _ in range(rng.randint(3, 6))]
+    titled = [p.title() for p in parts]
+    number = lambda n: "".join(rng.choice(DIGITS) for _ in range(n))
+    year = f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    word = "".join(rng.choice(FOREIGN + PARTS) for _ in range(rng.randint(2, 4)))
+    made = (
+        lambda: "_".join(parts),
+        lambda: "-".join(parts),
+        lambda: parts[0] + "".join(titled[1:]),
+        lambda: "/".join(parts),
+        lambda: "".join(parts),
+        lambda: "_".join(parts).upper(),
+        lambda: "".join(titled),
+        lambda: "/" + "/".join((rng.choice(("usr", "var", "home", "opt", "etc")), *parts[1:], f"{parts[0]}{number(1)}-{number(1)}")),
+        lambda: "/".join(f"{a}_{b.title()}" for a, b in zip(parts, parts[1:], strict=False)),
+        lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+        lambda: rng.choice("-=_+/") * rng.randint(20, 80),
+        lambda: (rng.choice(("-=", "=-", "_-", "+-", "/=")) * 40)[: rng.randint(20, 60)],
+        lambda: "+" + "+".join("-" * rng.randint(3, 20) for _ in range(3)) + "+",
+        lambda: f"{year}{rng.choice('-_/')}{year.replace('-', rng.choice(('-', '')))}-{number(2)}-{number(2)}",
+        lambda: f"{'-'.join(parts[:3])}-{number(1)}-{number(1)}-{number(2)}",
+        lambda: f"{parts[0]}_{year.replace('-', '')}_{number(6)}_{parts[1]}",
+        lambda: word,
+        lambda: f"{word}-{rng.choice(FOREIGN)}",
+        lambda: "-".join(titled),
+        lambda: " ".join(parts).upper().replace(" ", rng.choice(("", "-"))),
+    )
+    return made[style % len(made)]()
+
+
+def labelled_samples(n: int = 8000, seed: int = 11) -> list[tuple[str, bool]]:
+    """Generated (string, is random): keys in usual alphabets, and identifiers, constants, paths, UUIDs, rules, dates and words."""
     rng, out = random.Random(seed), []
-    alphabets = ["0123456789abcdef", UPPER + "234567", UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", LOWER + DIGITS]
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", UPPER + "234567", UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", LOWER + DIGITS, UPPER + DIGITS]
     for k in range(n):
         alphabet = alphabets[k % len(alphabets)]
         out.append(("".join(rng.choice(alphabet) for _ in range(rng.randint(20, 48))), True))
-        parts = [rng.choice(PARTS) for _ in range(rng.randint(3, 6))]
-        style = k % 5
-        if style == 0:
-            name = "_".join(parts)
-        elif style == 1:
-            name = "-".join(parts)
-        elif style == 2:
-            name = parts[0] + "".join(p.title() for p in parts[1:])
-        elif style == 3:
-            name = "/".join(parts)
-        else:
-            name = "".join(parts)
-        out.append((name + (str(rng.randint(0, 99)) if rng.random() < 0.2 else ""), False))
+        name = _ordinary(rng, k)
+        out.append((name + (str(rng.randint(0, 99)) if rng.random() < 0.1 else ""), False))
     return out
 
 
-def classes_of(token: str) -> str:
-    return token.translate(str.maketrans(*OF_CHAR))
-
-
 def train(samples: list[tuple[str, bool]]) -> list[int]:
-    """Log-likelihood ratios, random over ordinary, of each pair of classes, in thousandths of a nat."""
+    """Log-likelihood ratios, random over ordinary, of each pair of characters, in thousandths of a nat."""
     pairs = {True: Counter(), False: Counter()}
     for text, is_random in samples:
-        c = classes_of(text)
-        pairs[is_random].update(zip(c, c[1:], strict=False))
+        pairs[is_random].update(zip(text, text[1:], strict=False))
     out = []
-    for a in CLASSES:
-        total = {kind: sum(pairs[kind][a, b] for b in CLASSES) + len(CLASSES) for kind in pairs}
-        for b in CLASSES:
-            p = {kind: (pairs[kind][a, b] + 1) / total[kind] for kind in pairs}
+    for a in ALPHABET:
+        total = {kind: sum(pairs[kind][a, b] for b in ALPHABET) + SMOOTH for kind in pairs}
+        for b in ALPHABET:
+            p = {kind: (pairs[kind][a, b] + SMOOTH / len(ALPHABET)) / total[kind] for kind in pairs}
             out.append(round(1000 * math.log(p[True] / p[False])))
     return out
 
@@ -107,49 +139,68 @@ def default_model() -> tuple[int, ...]:
     return tuple(train(labelled_samples()))
 
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None) -> Column:
-    """array<(start, kind, end)> of the matches, from the lengths of matches and of what is between them."""
+def _bind(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _upto(values: Column, zero: int, join) -> Column:
+    """At each place the values so far joined by an associative function, in blocks of BLOCK values: no list grows by one element at a time."""
+
+    def grown(start: Column, items: Column) -> Column:
+        walked = F.aggregate(items, F.array(start), lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x))))
+        return F.slice(walked, 2, F.size(items))
+
+    def of_values(v: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")))
+        return _bind(F.transform(places, lambda k: F.slice(v, k * BLOCK + 1, BLOCK)), of_blocks)
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero).cast("long"), join))
+        return _bind(grown(F.lit(zero).cast("long"), sums), lambda ends: F.flatten(F.transform(blocks, lambda b, k: grown(F.when(k == 0, F.lit(zero).cast("long")).otherwise(F.get(ends, k - 1)), b))))
+
+    return _bind(values, of_values)
+
+
+def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None, with_run: bool = False) -> Column:
+    """array<(start, kind, end, v, run)> of the matches, from the lengths of matches and of what is between them."""
+    kind_of_span = "array<struct<start:bigint,kind:int,end:bigint,v:int,run:string>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group or 0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"))),
-        value,
-        lambda s, v: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), F.length(v).alias("v")),
-    )
-    kind_of_span = "array<struct<start:int,kind:int,end:int,v:int>>"
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind_of_span).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["n"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + s["gap"]).alias("start"), F.lit(kind).alias("kind"),
-                        (acc["at"] + s["gap"] + s["n"]).alias("end"), s["v"].alias("v"),
-                    )
-                ),
-            ).cast(kind_of_span).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def steps(between: Column) -> Column:
+        sized = F.zip_with(found, between, lambda m, gap: F.struct(m.alias("m"), F.length(gap).cast("long").alias("gap")))
+        return F.zip_with(F.filter(sized, lambda s: s["m"].isNotNull()), value, lambda s, v: F.struct(s["gap"].alias("gap"), F.length(s["m"]).cast("long").alias("n"), F.length(v).alias("v"), s["m"].alias("m")))
+
+    def placed(steps: Column) -> Column:
+        ends = _upto(F.transform(steps, lambda s: s["gap"] + s["n"]), 0, lambda a, b: a + b)
+        return F.zip_with(steps, ends, lambda s, e: F.struct((e - s["n"]).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), s["v"].alias("v"), (s["m"] if with_run else F.lit(None).cast("string")).alias("run"))).cast(kind_of_span)
+
+    walked = _bind(steps(F.split(text, pattern, -1)), placed)
     if value_group:
         walked = F.filter(walked, lambda s: s["v"] >= VALUE_LENGTH)
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(kind_of_span))
 
 
+def _outside(runs: Column, base: Column) -> Column:
+    """The runs that lie in no span of base: no span that starts before a run, or with it, ends with it or later."""
+
+    def of_all(spans: Column) -> Column:
+        reach = _upto(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(F.lit(0).cast("long"))), 0, lambda a, b: F.greatest(a, b))
+        return F.filter(F.zip_with(spans, reach, lambda s, e: F.when((s["kind"] == 3) & (e < s["end"]), s)), lambda s: s.isNotNull())
+
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(_bind(F.array_sort(F.concat(base, runs)), of_all))
+
+
 def _ratio(token: Column, model: Column) -> Column:
-    """Sum of the model's entries over the token's pairs of classes."""
-    mapped = F.translate(token, *OF_CHAR)
-    spots = F.transform(F.split(mapped, ""), lambda c: F.instr(F.lit(CLASSES), c) - 1)
+    """Sum of the model's entries over the token's pairs of characters."""
+    where = F.array(*[F.lit(ALPHABET.find(chr(c))) for c in range(128)])
     return F.aggregate(
-        spots,
+        F.filter(F.split(token, ""), lambda c: c != ""),
         F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("sum")),
         lambda acc, c: F.struct(
-            c.alias("last"),
-            (acc["sum"] + F.when((acc["last"] >= 0) & (c >= 0), F.coalesce(F.get(model, acc["last"] * len(CLASSES) + c), F.lit(0))).otherwise(0)).cast("long").alias("sum"),
+            F.get(where, F.ascii(c)).alias("last"),
+            (acc["sum"] + F.when(acc["last"] >= 0, F.get(model, acc["last"] * len(ALPHABET) + F.get(where, F.ascii(c)))).otherwise(0)).cast("long").alias("sum"),
         ),
         lambda acc: acc["sum"],
     )
@@ -160,25 +211,24 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, model: tuple[int, ...] | None = None, limit: int = LIMIT) -> DataFrame:
+def scan(docs: DataFrame, model: tuple[int, ...] | None = None, limit: int = LIMIT, each: int = EACH) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans of each row."""
     table = F.split(F.lit(",".join(map(str, model or default_model()))), ",").cast("array<int>")
     rows = docs.select("doc_id", text_of().alias("text"))
     rows = rows.select(
         "doc_id",
-        "text",
         _spans(F.col("text"), ASSIGN, 0, 2).alias("assign"),
         _spans(F.col("text"), ACCESS, 1).alias("access"),
         _spans(F.col("text"), HEX, 2).alias("hex"),
-        _spans(F.col("text"), RUN, 3).alias("runs"),
+        _spans(F.col("text"), RUN, 3, with_run=True).alias("runs"),
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    outside = F.filter(
-        "runs", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"]))
-    )
-    rows = rows.withColumn("outside", outside)
-    odd = F.filter("outside", lambda r: _ratio(F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"]), table) >= limit)
-    rows = rows.withColumn("markov", F.when(F.size("outside") > 0, odd).otherwise(F.col("outside")))
+    rows = rows.withColumn("outside", _outside(F.col("runs"), F.col("base")))
+
+    def odd(r: Column) -> Column:
+        return _bind(_ratio(r["run"], table), lambda x: (x >= limit) & (x >= each * (r["end"] - r["start"] - 1)))
+
+    rows = rows.withColumn("markov", F.when(F.size("outside") > 0, F.filter("outside", odd)).otherwise(F.col("outside")))
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "markov")],
@@ -208,12 +258,12 @@ def oracle() -> str:
     {spans("hex", HEX)},
     {spans("run", RUN)},
     base AS (SELECT row_no, s, e, 0 AS k FROM assign UNION ALL SELECT row_no, s, e, 1 FROM access UNION ALL SELECT row_no, s, e, 2 FROM hex),
-    free AS (SELECT r.row_no, r.s, r.e, translate(substring(d.text, r.s + 1, r.e - r.s), '{OF_CHAR[0]}', '{OF_CHAR[1]}') AS t
+    free AS (SELECT r.row_no, r.s, r.e, substring(d.text, r.s + 1, r.e - r.s) AS t
         FROM run r JOIN docs d USING (row_no)
         WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_no = r.row_no AND b.s <= r.s AND r.e <= b.e)),
-    scored AS (SELECT row_no, s, e, list_sum([({model})[(instr('{CLASSES}', t[i]) - 1) * {len(CLASSES)} + instr('{CLASSES}', t[i + 1])]
+    scored AS (SELECT row_no, s, e, length(t) - 1 AS pairs, list_sum([({model})[(instr('{ALPHABET}', t[i]) - 1) * {len(ALPHABET)} + instr('{ALPHABET}', t[i + 1])]
         for i in range(1, length(t))]) AS ratio FROM free),
-    every AS (SELECT * FROM base UNION ALL SELECT row_no, s, e, 3 FROM scored WHERE ratio >= {LIMIT}),
+    every AS (SELECT * FROM base UNION ALL SELECT row_no, s, e, 3 FROM scored WHERE ratio >= {LIMIT} AND ratio >= {EACH} * pairs),
     named AS (SELECT row_no, k, s, e, ['assign', 'access', 'hex', 'markov'][k + 1] || ':' || s || ':' || e AS span FROM every),
     listed AS (SELECT row_no, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
         count(*) FILTER (k = 3) AS n_markov, string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS spans
