@@ -64,6 +64,88 @@ def test_non_negative_risk_needs_no_negatives():
     assert w[1] + b > 0 > w[2] + b
 
 
+def risk(z, positive, prior):
+    """The non-negative risk by its definition, a text at a time."""
+    import math
+
+    def loss(z):
+        return 1 / (1 + math.exp(z))
+
+    p = [x for x, y in zip(z, positive, strict=True) if y]
+    u = [x for x, y in zip(z, positive, strict=True) if not y]
+    wrong = sum(loss(-x) for x in u) / len(u) - prior * sum(loss(-x) for x in p) / len(p)
+    return prior * sum(loss(x) for x in p) / len(p) + max(0.0, wrong)
+
+
+def test_fit_against_all_weights_of_a_grid():
+    """The risk of the fitted weights is no more than that of any weights of a grid."""
+    import itertools
+
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = [[0] if rng.random() < 0.8 else [0, 1] for _ in range(40)] + [[0, 1] if rng.random() < 0.2 else [1] if rng.random() < 0.6 else [] for _ in range(160)]
+    positive = np.arange(200) < 40
+    w, b = toxicity.fit([np.array(t, np.int64) for t in texts], positive, 0.2, toxicity.Sample(buckets=2, epochs=3000, rate=0.05))
+    mine = risk([sum(w[k] for k in t) + b for t in texts], positive, 0.2)
+    grid = [x / 2 for x in range(-16, 17)]
+    best = min(risk([sum((x, y)[k] for k in t) + c for t in texts], positive, 0.2) for x, y, c in itertools.product(grid, grid[::2], grid))
+    assert mine <= best + 0.002
+
+
+def plain_scores(rows, marks, s):
+    """The operator without Spark: the sample, the choice of buckets and the scores of every text."""
+    import numpy as np
+    import xxhash
+
+    def key(i):
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)
+        return (h - 2**64 if h >= 2**63 else h), i
+
+    texts = {i: t or "" for i, t in rows}
+    learn = [(i, t) for i, _, t in marks if not held_out(i)]
+    prior = sum(t for _, t in learn) / len(learn)
+    confirmed = sorted({i for i, t in learn if t}, key=key)[: s.positives]
+    others = sorted((i for i in texts if not held_out(i)), key=key)[: s.unlabelled]
+    chosen_of = [(sorted(f for w in toxicity.text_words(texts[i]) for f in toxicity.features(w, s.buckets)), y) for y, ids in ((False, others), (True, confirmed)) for i in ids if i in texts]
+    n = {y: sum(1 for _, z in chosen_of if z == y) for y in (True, False)}
+    z = {}
+    for k in {k for b, _ in chosen_of for k in b}:
+        p, u = (sum(1 for b, y in chosen_of if y == kind and k in b) for kind in (True, False))
+        expected = n[True] * max(u, 1) / n[False]
+        if p >= 3 and (p - expected) / expected**0.5 > s.min_z:
+            z[k] = (p - expected) / expected**0.5
+    best = set(sorted(z, key=lambda k: (-z[k], k))[: s.chosen])
+    w, b = toxicity.fit([np.array([k for k in bs if k in best], np.int64) for bs, _ in chosen_of], np.array([y for _, y in chosen_of]), prior, s)
+    out = {}
+    for i, t in texts.items():
+        total = b + sum(w[k] for word in toxicity.text_words(t) for k in toxicity.features(word, s.buckets))
+        out[i] = 1 / (1 + np.exp(-total))
+    return out
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs, labels, _ = corpus(spark, 500, 7)
+    s = toxicity.Sample(positives=30, unlabelled=150, min_z=3.0, chosen=40)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_scores(rows, [tuple(r) for r in labels.collect()], s)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels, s).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_sample_bounds_hold_for_repeated_rows(spark):
+    docs, labels, _ = corpus(spark, 300)
+    toxic = labels.filter("toxic = 1").filter(~toxicity.held_out()).first().doc_id
+    again = docs.filter(F.col("doc_id") == toxic).crossJoin(spark.range(20_000)).drop("id")
+    s = toxicity.Sample(positives=5, unlabelled=10, min_z=0.0)
+    rows, _ = toxicity.training_sample(docs.unionByName(again), labels.unionByName(labels), s)
+    assert rows.positive.sum() == 5 and len(rows) == 15
+    assert max(map(len, toxicity.training_sample(docs, labels, toxicity.Sample(positives=50, unlabelled=10, min_z=0.0, chosen=3))[0].buckets)) <= 3
+    many = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    key = F.xxhash64("doc_id")
+    assert toxicity.least_ids(many, 50).collect() == many.orderBy(key).limit(50).collect()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <div class="cookie-notice">We use cookies</div><header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="ad">Buy this now</div><article><h1>A title &amp; more</h1><p>First  paragraph of the text,
