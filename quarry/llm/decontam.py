@@ -15,8 +15,10 @@ word five-grams each must occur (of shorter ones the words as a run).
 times the item's words, ``overlap`` of the item's words are in their order there, and ``PART`` of the question's and
 of the answer's. The shares reported are then of words.
 
-The index goes to the executors in parts of at most ``ITEMS`` items and ``ITEM_CHARS`` characters, one pass
-over the passages each.
+The index goes to the executors in parts of at most ``ITEMS`` items and ``ITEM_CHARS`` characters. Of several parts
+each has a pass of its own over the texts, whose result is written before the next part is sent, so a worker
+holds one part at a time and the driver two. Items of over ``LONG_CHARS`` characters are in parts of items of like length, as a
+part's passages are as long as its longest item needs.
 
 Defined cases: a null text counts as empty and matches nothing; items that are null or without
 words match nothing; equal items are all reported; a null doc_id or item_id is reported as such;
@@ -36,13 +38,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches, text_of
+from .common import ship, small_batches, text_of, written
 
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: Bounds of one part of the index.
 ITEMS = 20_000
 ITEM_CHARS = 8_000_000
+LONG_CHARS = 4096
 BLOCK = 16
 K1, B = 1.2, 0.75
 #: Least share of the words of an edited item's question and of its answer.
@@ -250,16 +253,17 @@ class Index:
         return out
 
 
-def index_parts(benchmark: DataFrame, threshold: float, overlap: float, passage: int, edited: bool = False) -> Iterator[Index]:
+def index_parts(benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, passage: int = 128, edited: bool = False) -> Iterator[Index]:
     """The items stream through the driver, one bounded part at a time; equal rows are one item."""
-    rows = benchmark.select("item_id", text_of().alias("text")).distinct().orderBy(F.col("item_id").asc_nulls_last(), "text")
-    part, chars = [], 0
-    for r in rows.toLocalIterator():
-        part.append((r["item_id"], r["text"]))
-        chars += len(r["text"])
-        if len(part) >= ITEMS or chars >= ITEM_CHARS:
+    rows = benchmark.select("item_id", text_of().alias("text")).distinct()
+    rows = rows.withColumn("class", F.greatest(F.lit(0), F.ceil(F.log2(F.length("text") / LONG_CHARS) / 3)).cast("int"))
+    part, chars, kind = [], 0, None
+    for r in rows.orderBy("class", F.col("item_id").asc_nulls_last(), "text").toLocalIterator():
+        if part and (len(part) >= ITEMS or chars >= ITEM_CHARS or r["class"] != kind):
             yield Index(part, threshold, overlap, passage, edited)
             part, chars = [], 0
+        part.append((r["item_id"], r["text"]))
+        chars, kind = chars + len(r["text"]), r["class"]
     if part:
         yield Index(part, threshold, overlap, passage, edited)
 
@@ -273,25 +277,42 @@ def _found_column(shared):
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, passage: int = 128, edited: bool = False) -> Column:
-    """array<(item_id, question, answer)> of the items that a row's ``text`` holds."""
+def _passes(docs: DataFrame, benchmark: DataFrame, first, how: dict) -> Iterator[tuple[Column, bool]]:
+    """By part, the array<(item_id, question, answer)> of the items that a row's ``text`` holds, and whether it is the only part.
+    What one yields must be written before the next is asked for: the part is then taken from the executors."""
     small_batches(docs.sparkSession)
-    columns = []
-    for part in index_parts(benchmark, threshold, overlap, passage, edited):
+    parts = index_parts(benchmark, **how)
+    part, after = next(parts, None), next(parts, None)
+    only = after is None
+    while part is not None:
         shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        columns.append(_found_column(shared)(text_of()))
-    return F.concat(*columns) if columns else F.array().cast(HITS)
+        yield first(_found_column(shared)(text_of())), only
+        if only:
+            return
+        shared.destroy()
+        part, after = after, next(parts, None)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, item_id, question, answer: a row per text and item that it holds."""
-    return docs.select("doc_id", F.explode(contamination(docs, benchmark, **how)).alias("hit")).select("doc_id", "hit.*")
+    out = None
+    for hit, only in _passes(docs, benchmark, F.explode, how):
+        rows = docs.select("doc_id", hit.alias("hit")).select("doc_id", "hit.*")
+        if only:
+            return rows
+        rows = written(rows, "leaks")
+        out = rows if out is None else out.unionByName(rows)
+    return docs.select("doc_id", F.explode(F.array().cast(HITS)).alias("hit")).select("doc_id", "hit.*") if out is None else out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the rows that hold an item; columns unchanged."""
-    return docs.filter(F.size(contamination(docs, benchmark, **how)) == 0)
+    for held, only in _passes(docs, benchmark, F.size, how):
+        docs = docs.filter(held == 0)
+        if only:
+            return docs
+        docs = written(docs, "unleaked")
+    return docs
 
 
 ship(__name__)

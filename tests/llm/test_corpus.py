@@ -78,6 +78,32 @@ def test_leaks_in_parts_and_empty(spark, monkeypatch):
     assert decontam.without_leaks(docs, benchmark.limit(0)).count() == 25
 
 
+def test_one_part_at_a_time(spark, monkeypatch):
+    """Of 50 parts one is on the executors at a time; a very long item does not stretch the passages of the others."""
+    rng = random.Random(10)
+    items = [(i, " ".join(words(rng, 30, 900))) for i in range(50)]
+    rows = [(i, " ".join(words(rng, 50, 900)) + " " + items[i][1]) for i in range(0, 50, 2)]
+    docs, benchmark = documents(spark, rows).coalesce(2), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "ITEMS", 1)
+    live, most, send = set(), [0], spark.sparkContext.broadcast
+
+    def counted(value):
+        shared = send(value)
+        if isinstance(value, decontam.Index):
+            live.add(id(shared))
+            most[0] = max(most[0], len(live))
+            monkeypatch.setattr(shared, "destroy", lambda f=shared.destroy, k=id(shared): (live.discard(k), f()))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, benchmark).collect()} == {(i, i) for i, _ in rows}
+    assert decontam.without_leaks(docs, benchmark).count() == 0 and most[0] == 1 and not live
+    monkeypatch.undo()
+    long = spark.createDataFrame([*items, (99, " ".join(words(rng, 20_000, 900)))], benchmark.schema)
+    assert sorted(len(p.ids) for p in decontam.index_parts(long)) == [1, 50]
+    assert min(p.passage for p in decontam.index_parts(long)) == 128
+
+
 def test_edited_leaks(spark, tmp_path):
     """One word replaced within a short answer, and one left out; shuffled words and a lone question are no leak."""
     rng = random.Random(12)
