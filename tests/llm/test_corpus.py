@@ -162,6 +162,81 @@ def test_mixture_is_what_taken_says(spark):
     assert {r.doc_id: r.taken for r in mixing.taken_words(docs, block=16).collect()} == {i: r.taken for i, r in got.items()}
 
 
+def scalar_permuted(i, n, key):
+    """The permutation by whole numbers, one index at a time."""
+    mask64, half = (1 << 64) - 1, 1
+    while 4**half < n:
+        half += 1
+    while True:
+        left, right = i >> half, i & ((1 << half) - 1)
+        for r in range(4):
+            f = (right + key + r) * 0x9E3779B97F4A7C15 & mask64
+            f = (f ^ (f >> 29)) * 0xBF58476D1CE4E5B9 & mask64
+            left, right = right, left ^ ((f >> 32) & ((1 << half) - 1))
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def test_mixture_equals_a_plain_version(spark):
+    """Streams, blocks, draws and permutations made one word, one shard and one slot at a time."""
+    xxhash = pytest.importorskip("xxhash")
+    rng, block, slots, seed = random.Random(15), 8, 32, 7
+    rows = [(i, " ".join(words(rng, rng.choice((0, 1, 9, 80)))), rng.choice(["a", "b", "c", "c", "c"])) for i in range(400)]
+    got = {r.doc_id: r for r in mixing.taken_words(documents(spark, rows), block=block, slots=slots).collect()}
+
+    def at(i):  # two 64-bit hashes chained, the second of an int
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42)
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=h)
+        return h - 2**64 if h >= 2**63 else h
+
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows})
+    streams = {s: [i for *_, i in sorted((at(i) % 16, at(i), i) for i, _, x in rows if x == s) for _ in range(sizes[i])] for s in names}
+    aims = mixing.targets([(s, len(streams[s])) for s in names])
+    blocks = [-(-len(streams[s]) // block) for s in names]
+    quota = [min(round(t / len(streams[s]) * b), 2 * b) for s, t, b in zip(names, aims, blocks, strict=True)]
+    taken, total, given = Counter(), sum(quota), [0] * len(names)
+
+    def deal(a, b, mine):
+        """The counts of the shards from a to b, by recursion over whole lists."""
+        if b - a == 1:
+            return [mine]
+        m, out, g = (a + b) // 2, [0] * len(mine), np.random.default_rng([seed, a, b])
+        while sum(out) < (m - a) * slots:
+            rest = np.array([q - o for q, o in zip(mine, out, strict=True)])
+            more = g.multinomial((m - a) * slots - sum(out), rest / rest.sum())
+            out = [o + min(int(x), int(r)) for o, x, r in zip(out, more, rest, strict=True)]
+        return deal(a, m, out) + deal(m, b, [q - o for q, o in zip(mine, out, strict=True)])
+
+    dealt = deal(0, -(-total // slots), quota)
+    assert [sum(d) for d in dealt[:-1]] == [slots] * (len(dealt) - 1) and 0 < sum(dealt[-1]) <= slots
+    for counts in dealt:
+        for k, n in enumerate(counts):
+            for slot in range(given[k], given[k] + n):
+                b = scalar_permuted(slot % blocks[k], blocks[k], seed * 1000003 + k + slot // blocks[k] * 7919)
+                taken.update(streams[names[k]][b * block : (b + 1) * block])
+            given[k] += n
+    assert given == quota
+    assert {i: got[i].taken for i in sizes} == {i: taken[i] for i in sizes}
+
+
+def test_shards_are_walked_alike_from_anywhere():
+    quota = np.array([5_000_000_000_000, 3, 0, 700_000_000_000])
+    shards = -(-int(quota.sum()) // mixing.SLOTS)
+    one = list(mixing.shard_counts(quota, shards - 2, shards, 3))
+    two = [x for k in (shards - 2, shards - 1) for x in mixing.shard_counts(quota, k, k + 1, 3)]
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(one, two, strict=True))
+    assert (one[-1][1] + one[-1][2] == quota).all() and one[0][2].sum() == mixing.SLOTS and len(one) == 2
+
+
+def test_null_ids_are_spread(spark):
+    docs = documents(spark, [(None, "a b c") for _ in range(2000)])
+    rows, _ = mixing.mixture(docs)
+    assert rows.select("piece").distinct().count() == 16 and rows.select("start").distinct().count() == 2000
+    assert mixing.taken_words(docs).agg(F.sum("taken")).first()[0] == pytest.approx(9000, abs=200)
+
+
 def test_mixing_odd_rows(spark):
     out = mixing.taken_words(documents(spark, ODD).withColumn("start", F.lit(1)))
     assert out.count() == len(ODD) and out.filter("taken > 2 * size").count() == 0
