@@ -9,8 +9,9 @@ from .helpers import ODD, documents
 SF = "/root/testdata/sf0.001"
 
 
-def brute(docs, least=50):
-    """Deleted line numbers per document, in order of doc_id: repeated windows, stretches extended both ways."""
+def brute(docs, least=lines.WORDS):
+    """Deleted line numbers per document, in order of doc_id: every window that is not the first of its content, with
+    the equal lines after it."""
     every = []
     for i, t in docs:
         ls = [(k, re.sub(r"[\x20\x09\x0B-\x0D]+", " ", x).strip(" ")) for k, x in enumerate((t or "").split("\n"))]
@@ -27,23 +28,21 @@ def brute(docs, least=50):
                     first.setdefault(key, (n, p))
                     windows[n, p] = (key, q)
                     break
-    out = {}
-    for n, (i, ls) in enumerate(every):
-        hits = {p: (first[windows[n, p][0]], windows[n, p][1]) for p in range(len(ls)) if (n, p) in windows and first[windows[n, p][0]] != (n, p)}
-        gone = set()
-        for p, (f, q) in hits.items():
-            gone |= set(range(p, q + 1))
-            fl = every[f[0]][1]
-            k = 1
-            while p - 1 not in hits and p - k >= 0 and f[1] - k >= 0 and ls[p - k][1] == fl[f[1] - k][1]:
-                gone.add(p - k)
-                k += 1
-            k, e = 1, f[1] + q - p
-            while p + 1 not in hits and q + k < len(ls) and e + k < len(fl) and ls[q + k][1] == fl[e + k][1]:
-                gone.add(q + k)
-                k += 1
-        out[i] = [ls[g][0] for g in sorted(gone)]
-    return out
+    out = {i: set() for i, _ in every}
+    for (n, p), (key, q) in windows.items():
+        m, r = first[key]
+        if (m, r) != (n, p):
+            (i, ls), other = every[n], every[m][1]
+            out[i] |= set(range(p, q + 1))
+            e = r + q - p
+            for k in range(1, least):
+                if q + k >= len(ls) or e + k >= len(other) or ls[q + k][1] != other[e + k][1]:
+                    break
+                out[i].add(q + k)
+            # what is equal on the left is a repeat already
+            if p and r and ls[p - 1][1] == other[r - 1][1]:
+                assert first[windows[n, p - 1][0]] != (n, p - 1)
+    return {i: [ls[g][0] for g in sorted(out[i])] for i, ls in every}
 
 
 def got(docs):
@@ -52,7 +51,7 @@ def got(docs):
 
 def test_equals_brute_force(spark):
     rng = random.Random(2)
-    pool = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((1, 3, 10, 30, 60)))) for _ in range(25)]
+    pool = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((1, 1, 2, 3, 10, 30)))) for _ in range(40)]
     rows = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randrange(1, 25)))) for i in range(80)]
     rows.append((90, "\n".join([pool[0]] * 200)))
     rows.append((91, "\n".join([pool[1], pool[2]] * 60)))
@@ -71,10 +70,30 @@ def test_passage_across_documents(spark):
     assert report == {1: (0, ""), 2: (5, "1-5"), 3: (0, "")}
 
 
+def test_long_text_of_many_stretches(spark):
+    """20,000 repeats in one text of 60,000 lines: no array of lines is copied by stretch."""
+    rng = random.Random(6)
+    common = [f"common line number {k} is here" for k in range(50)]
+    long = "\n".join(rng.choice(common) if k % 3 == 0 else f"own line number {k} stands alone" for k in range(60_000))
+    rows = [(1, "\n".join(common)), (2, long)]
+    got = {r.doc_id: r.n_removed for r in lines.line_report(documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 20_000}
+
+
+def test_half_of_the_positions_or_fewer(spark):
+    """Winnowing: of short lines, a window selects its least hash, so there are fewer fingerprints than windows."""
+    rng = random.Random(8)
+    docs = documents(spark, [(i, "\n".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(10)])
+    found = lines.positions(lines.hashed(docs)).selectExpr("count(*) AS n", "sum(size(windows)) AS windows").first()
+    assert found.windows == 10 * 196 and found.n < 0.45 * found.windows
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD).withColumnRenamed("lang", "th")
     out = lines.line_report(docs).collect()
-    assert len(out) == len(ODD) and sum(r.n_removed for r in out) == 0
+    assert sorted(((r.doc_id, r.n_removed) for r in out), key=repr) == sorted(((i, 0) for i, _ in ODD), key=repr)
+    twice = documents(spark, [(3, "a line of five words\nmore"), (None, "a line of five words\nrest"), (None, None), (3, "a line of five words\nmore"), (9, "a line of five words")])
+    assert sorted(((r.doc_id, r.n_removed) for r in lines.line_report(twice).collect()), key=repr) == [(3, 0), (3, 0), (9, 1), (None, 0), (None, 1)]
     kept = lines.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(ODD)
     assert lines.line_report(documents(spark, [])).count() == 0
