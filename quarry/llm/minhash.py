@@ -15,7 +15,8 @@ the hub does not resemble are paired with those of the bucket that are not yet i
 unless the triangle inequality of the distance 1 - similarity rules that out, or sketches of
 ``SKETCH`` further coordinates, one bit each, put the pair more than four standard deviations under the
 threshold; that condition is part of the join, as is that the bucket is the first that the pair
-shares, so a hot bucket makes few rows. Classes are the
+shares, so a hot bucket makes few rows. A bucket with more than ``CELL`` such comparisons is laid out as a grid: its texts are dealt
+to rows and to columns by hash, and each cell of about that many is a key of its own. Classes are the
 connected components of pairs of similarity ``threshold`` or more. At similarity 0.8 a pair shares a
 bucket with probability 0.9999.
 
@@ -50,6 +51,8 @@ GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 REMEMBERED = 100_000
 #: Coordinates of the sketches, and the margin of the similarity that they estimate.
 SKETCH, MARGIN = 4096, 0.04
+#: Comparisons of sketches that one key of the last join makes, about.
+CELL = 1_000_000
 #: Rows of node ids (under 100 bytes each) that go to every executor at most.
 BROADCAST_ROWS = 500_000
 
@@ -238,7 +241,8 @@ def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     # The hub of each bucket, and all of the bucket against it.
     placed = members.select("bucket", "node").join(busy.select("node", "busy"), "node")
-    hubs = placed.groupBy("bucket").agg(F.max(F.struct("busy", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
+    placed = written(placed, "busy_members")
+    hubs = written(placed.groupBy("bucket").agg(F.max(F.struct("busy", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub")), "hubs")
     placed = written(placed.join(hubs, "bucket").select("bucket", "node", "hub"), "placed")
     stars = written(_similar(placed.filter("node != hub").select("node", F.col("hub").alias("other")).distinct(), texts), "stars")
     linked = stars.filter(F.col("similarity") >= threshold)
@@ -253,17 +257,21 @@ def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame
     known = written(known, "known")
     # Buckets with texts that are apart from their hub, beside others than the hub.
     open_buckets = known.filter("near < 1").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("near") < threshold).alias("odd"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_buckets = open_buckets.filter("n > 1 and odd > 0 and low != high").select("bucket")
+    grid = F.ceil(F.sqrt(F.col("odd").cast("double") * F.col("n") / CELL)).cast("int").alias("grid")
+    open_buckets = written(open_buckets.filter("n > 1 and odd > 0 and low != high").select("bucket", grid), "open_buckets")
     left_over = written(known.filter("near < 1").join(open_buckets, "bucket"), "left_over")
     sketches = left_over.select("node").distinct().join(texts, "node").select("node", sketched("text").alias("sketch"))
     sketches = sketches.join(known_nodes.select("node", "bands"), "node")
     left_over = left_over.join(written(sketches, "sketches"), "node")
-    o, m = left_over.filter(F.col("near") < threshold).alias("o"), left_over.alias("m")
+    dealt, every = F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
+    left_over = left_over.withColumn("dealt", dealt).withColumn("other", every)
+    o = left_over.filter(F.col("near") < threshold).withColumnsRenamed({"dealt": "row", "other": "column"}).alias("o")
+    m = left_over.withColumnsRenamed({"dealt": "column", "other": "row"}).alias("m")
     differing = F.aggregate(F.zip_with("o.sketch", "m.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     common = F.zip_with("o.bands", "m.bands", lambda x, y: F.when(x == y, x))
     rest = o.join(
         m,
-        (F.col("o.bucket") == F.col("m.bucket"))
+        (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.row") == F.col("m.row")) & (F.col("o.column") == F.col("m.column"))
         & (F.col("o.root") != F.col("m.root"))
         & ((F.col("m.near") >= threshold) | (F.col("o.node") < F.col("m.node")))
         & (F.abs(F.col("o.near") - F.col("m.near")) <= 1 - threshold + 1e-9)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quarry.llm import minhash as M
 from quarry.llm.graph import components
@@ -86,6 +87,52 @@ def test_classes_equal_all_pairs(spark):
     assert kept == sorted({c for _, c in brute(rows)})
 
 
+def test_hot_bucket_in_cells(spark, monkeypatch):
+    """Texts that share a passage and resemble their hub by little more than half, in a grid of many cells: the same classes."""
+    rng = random.Random(9)
+    shared, rows = words(rng, 200), []
+    for k in range(25):
+        own = shared + words(rng, 90)
+        rows += [(100 * k + j, " ".join(own[:-j] + [f"y{j}"] * j if j else own)) for j in range(2)]
+    docs = documents(spark, rows)
+    want = got(M.classes(docs))
+    assert want == brute(rows)
+    monkeypatch.setattr(M, "CELL", 20)
+    assert got(M.classes(docs)) == want
+
+
+def test_recall_against_all_pairs_of_documents(spark):
+    """Every pair of sf0.01's documents at 0.8 or more, found by an inverted index of five-word runs, is in one class."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, M.WORDS.findall((r.text or "").lower())) for r in docs.select("doc_id", "text").collect()]
+    bags = {i: Counter(tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))) if w else Counter() for i, w in rows}
+    holders, common = defaultdict(list), Counter()
+    for i, bag in bags.items():
+        for g in bag:
+            holders[g].append(i)
+    for g, ids in holders.items():
+        for x in range(len(ids)):
+            for y in range(x):
+                common[ids[y], ids[x]] += min(bags[ids[x]][g], bags[ids[y]][g])
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    pairs = {p for p, c in common.items() if c / (size[p[0]] + size[p[1]] - c) >= 0.8}
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    same = {r.doc_id: r.class_id for r in M.classes(docs).collect()}
+    assert len(pairs) > 30 and sum(same[a] == same[b] for a, b in pairs) >= 0.999 * len(pairs)
+    empty = [i for i, w in rows if not w]
+    assert {i: c for i, c in same.items() if i not in empty} == {i: find(i) for i, _ in rows if i not in empty}
+
+
 def test_keep_one_keeps_columns(spark):
     docs = documents(spark, ODD).withColumnRenamed("lang", "node").withColumnRenamed("source", "_id")
     kept = M.keep_one(docs)
@@ -98,3 +145,11 @@ def test_components(spark):
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert roots == {i: 0 for i in range(31)} | {i: 100 for i in (100, 101, 102)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_do_not_stop_early(spark, monkeypatch):
+    from quarry.llm import graph
+
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long"))
