@@ -1,27 +1,35 @@
 """Exact dedup by a log-structured merge index of digests.
 
-Every input partition is a memtable: its (digest, doc_id) rows are flushed, sorted by digest and
-with a Bloom filter, as runs of level 0. Compaction merges the runs of a level, keeping for each
-digest the smallest doc_id and the number of rows. Digests of more than one row are hits: their
-texts are fetched and compared byte for byte with the text of the row that stays; texts that only
-share a digest are regrouped by the text itself.
+The rows of every input partition fill memtables of ``MEMTABLE`` rows; each is flushed as a run of
+level 0, a file of (digest, doc_id, row) sorted by digest. While a level has more than ``fanout`` runs, compaction merges
+them by that many into runs of the next, keeping for each digest the smallest doc_id and the number of
+rows; a major compaction merges the last ones. Digests of more than one row are hits. A Bloom filter of them, of
+``FILTER_BITS`` bits at most, is asked by every text: only texts that it may hold are fetched and met with the hits, so
+texts without copies are not shuffled. Hits are compared byte for byte; texts that only share a digest are regrouped by the text itself.
 
 Defined cases: a null text counts as empty; a null doc_id comes after all others (keep_id is null
 only where no row of the text has a doc_id); repeated rows are rows of their own, counted in
-group_size, and those with the smallest doc_id are all kept by the decision table, while
-``drop_copies`` leaves one of them; an empty table gives an empty result; further columns are
+group_size; of each text exactly one row is kept, also where several have the smallest doc_id (in the decision table the
+first in the input; ``drop_copies`` leaves one of them); an empty table gives an empty result; further columns are
 ignored by ``decisions`` and carried by ``drop_copies``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, new_path, text_of, written
+from .common import SPACE, new_path, sized, text_of, written
 
 #: A set of hit digests is sent to every executor up to this many rows (about 60 bytes each).
 BROADCAST_ROWS = 500_000
+#: Rows of a memtable, about 50 bytes each.
+MEMTABLE = 1 << 20
+#: Bits of a filter: 16 for each digest, up to this many (32 MB).
+FILTER_BITS = 1 << 28
+HASHES = 4
 
 
 def normalised(text: Column) -> Column:
@@ -32,119 +40,168 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def whole_text(text: Column) -> Column:
+    """No digest: equal keys are equal texts."""
+    return text
+
+
+def places(digest: Column, bits: int) -> list[Column]:
+    """The bits of a digest in a filter of so many."""
+    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits).cast("long")) for k in range(HASHES)]
+
+
+def filter_of(digests: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a table(digest) may hold a digest: false is certain."""
+    n = digests.count()
+    bits = 1 << 10
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    spots = digests.select(F.explode(F.array(*places(F.col("digest"), bits))).alias("p"))
+    words = spots.groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    # one row of at most FILTER_BITS / 64 longs
+    dense = digests.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    whole = written(dense.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("w")).select(F.col("w.bits").alias("bits")), "filter")
+
+    def may_hold(digest: Column) -> Column:
+        out = F.lit(n > 0)
+        for p in places(digest, bits):
+            word = F.get(whole.scalar(), F.shiftright(p, 6).cast("int"))
+            out = out & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
+        return out
+
+    return may_hold
+
+
 class DigestIndex:
     """Levels of sorted digest runs in the shared folder. ``fanout`` runs of a level make one of the next."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
-        self.spark, self.path, self.fanout = spark, path or new_path(spark, "digests"), fanout
-        self.levels: dict[int, list[str]] = {}
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 16, memtable: int = MEMTABLE):
+        self.spark, self.path, self.fanout, self.memtable = spark, path or new_path(spark, "digests"), fanout, memtable
+        #: By level, its folder and number of runs; and the batches that were flushed.
+        self.levels: dict[int, list[tuple[str, int]]] = {}
         self._made = 0
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        run = f"{self.path}/level={level}/run={self._made}"
+    def _write(self, rows: DataFrame, level: int) -> DataFrame:
+        """rows(run, digest, ...) as sorted runs of a level; run numbers are made dense."""
+        at = f"{self.path}/level={level}/batch={self._made}"
         self._made += 1
-        (
-            rows.sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", "100000")
-            .parquet(run)
-        )
-        self.levels.setdefault(level, []).append(run)
-
-    def flush(self, rows: DataFrame) -> None:
-        """rows(digest, doc_id): each partition becomes a sorted run file of level 0."""
-        self._write(rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), 0)
+        rows.sortWithinPartitions("run", "digest").write.option("compression", "zstd").option("maxRecordsPerFile", self.memtable).parquet(at)
+        made = self.spark.read.schema(rows.schema).parquet(at)
+        self.levels.setdefault(level, []).append((at, made.select("run").distinct().count()))
+        return made
+
+    def flush(self, rows: DataFrame) -> DataFrame:
+        """rows(digest, doc_id): memtables become runs of level 0, and full levels are compacted. Returns digest, doc_id, row as flushed."""
+        place = F.monotonically_increasing_id()
+        many = F.shiftright(place, 33) * (1 << 20) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / self.memtable)
+        flushed = self._write(rows.select("digest", "doc_id", place.alias("row"), many.cast("long").alias("run")), 0)
         level = 0
-        while len(self.levels.get(level, [])) >= self.fanout:
+        while sum(n for _, n in self.levels.get(level, [])) > self.fanout:
             self.compact(level)
             level += 1
-
-    def _runs(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", self.path).parquet(*paths).select("digest", "keep_id", "n")
+        return flushed.select("digest", "doc_id", "row")
+
+    def _entries(self, level: int) -> DataFrame:
+        """run, digest, keep (the least of (no doc_id, doc_id, row)), n of a level; runs are numbered through its batches."""
+        out, first = None, 0
+        for at, runs in self.levels[level]:
+            rows = self.spark.read.parquet(at)
+            number = rows.select("run").distinct().orderBy("run") if level == 0 else None
+            if level == 0:  # numbers of runs by partition and memtable, made dense: a row a run
+                dense = self.spark.createDataFrame([(r["run"], first + k) for k, r in enumerate(number.collect())], "run long, no long")
+                rows = rows.join(F.broadcast(dense), "run").select(
+                    F.col("no").alias("run"), "digest", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("keep"), F.lit(1).cast("long").alias("n")
+                )
+            else:
+                rows = rows.withColumn("run", F.col("run") + first)
+            out, first = rows if out is None else out.unionByName(rows), first + runs
+        return out
 
     @staticmethod
-    def _merge(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    def _merge(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by, "digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
 
     def compact(self, level: int) -> None:
-        """All runs of a level become one of the next, one row per digest."""
-        self._write(self._merge(self._runs(self.levels.pop(level))), level + 1)
+        """The runs of a level become runs of the next, each of ``fanout`` and with one row per digest."""
+        rows = self._entries(level).withColumn("run", F.floor(F.col("run") / self.fanout))
+        self.levels.pop(level)
+        self._write(self._merge(rows, "run").select("digest", "keep", "n", "run"), level + 1)
 
     def compact_all(self) -> None:
         """A major compaction: every level becomes one run above them all."""
-        runs, top = [r for level in self.levels.values() for r in level], max(self.levels, default=0)
-        if len(runs) > 1 or 0 in self.levels:
+        if sum(n for batches in self.levels.values() for _, n in batches) > 1 or 0 in self.levels:
+            rows, top = self._merged().withColumn("run", F.lit(0).cast("long")), max(self.levels, default=0)
             self.levels = {}
-            self._write(self._merge(self._runs(runs)), top + 1)
+            self._write(rows.select("digest", "keep", "n", "run"), top + 1)
+
+    def _merged(self) -> DataFrame:
+        rows = None
+        for level in self.levels:
+            mine = self._entries(level).select("digest", "keep", "n")
+            rows = mine if rows is None else rows.unionByName(mine)
+        single = len(self.levels) == 1 and 0 not in self.levels and sum(n for _, n in next(iter(self.levels.values()))) <= 1
+        return rows if single else self._merge(rows)
 
     def entries(self) -> DataFrame:
-        """digest, keep_id, n of all that was flushed."""
-        runs = [r for level in self.levels.values() for r in level]
-        single = len(runs) == 1 and 0 not in self.levels
-        return self._runs(runs) if single else self._merge(self._runs(runs))
+        """digest, keep_id, keep_row, n of all that was flushed."""
+        return self._merged().select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "n")
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """rows(digest, ...) with keep_id and n of equal digests seen so far; null where new."""
-        return rows.join(self.entries(), "digest", "left")
+        """rows(digest, ...) with keep_id and n of equal digests seen so far; null where new. The filter tells most new ones."""
+        entries = self.entries().select("digest", "keep_id", "n")
+        may_hold = filter_of(entries)
+        seen = rows.filter(may_hold(F.col("digest"))).join(entries, "digest", "left")
+        new = rows.filter(~may_hold(F.col("digest")))
+        return seen.unionByName(new.withColumns({"keep_id": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}))
 
 
 def _index(docs: DataFrame, digest) -> tuple[DataFrame, DataFrame]:
-    """The flushed rows (digest, doc_id) and, per digest, keep_id and group size."""
-    spark = docs.sparkSession
-    index = DigestIndex(spark)
-    index.flush(docs.select(digest(normalised(text_of())).alias("digest"), "doc_id"))
-    flushed = index._runs(index.levels[0]).select("digest", F.col("keep_id").alias("doc_id"))
+    """The flushed rows (digest, doc_id, row) and, of each hit, keep_id, keep_row and group size."""
+    index = DigestIndex(docs.sparkSession)
+    flushed = index.flush(docs.select(digest(normalised(text_of())).alias("digest"), F.col("doc_id").cast("long").alias("doc_id")))
     index.compact_all()
-    return flushed, index.entries()
-
+    return flushed, written(index.entries().filter("n > 1"), "hits")
 
-def _hits(docs: DataFrame, entries: DataFrame, digest) -> DataFrame:
-    """(digest, doc_id, keep_id, body) of rows whose digest is not alone."""
-    copies = entries.filter("n > 1").select("digest", "keep_id")
-    few = copies.count() <= BROADCAST_ROWS
-    body = docs.select("doc_id", normalised(text_of()).alias("body")).withColumn("digest", digest(F.col("body")))
-    return body.join(F.broadcast(copies) if few else copies, "digest")
 
-
-def _collisions(hits: DataFrame) -> DataFrame:
+def _collisions(docs: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """Digests whose texts are not all the same bytes: the least differs from the greatest. Map sides
     combine, so a group of copies sends two texts a task and meets nowhere."""
-    ends = hits.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-    return ends.filter(F.col("low") != F.col("high")).select("digest")
+    may_hold = filter_of(hits.select("digest"))
+    body = docs.select(normalised(text_of()).alias("body")).withColumn("digest", digest(F.col("body"))).filter(may_hold(F.col("digest")))
+    ends = body.join(sized(hits.select("digest"), BROADCAST_ROWS), "digest").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    return written(ends.filter(F.col("low") != F.col("high")).select("digest"), "collided")
 
 
 def decisions(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    flushed, entries = _index(docs, digest)
-    collided = written(_collisions(_hits(docs, entries, digest)), "collided")
-    shape = [
+    flushed, hits = _index(docs, digest)
+    if digest is not whole_text and not _collisions(docs, hits, digest).isEmpty():
+        return decisions(docs, whole_text)
+    if digest not in (whole_text, sha256_digest):
+        return decisions(docs)  # whose digests are also the result's
+    met = flushed.join(sized(hits, BROADCAST_ROWS), "digest", "left")
+    alone = F.col("n").isNull()
+    hex_of = F.lower(F.hex("digest")) if digest is sha256_digest else F.sha2("digest", 256)
+    return met.select(
         "doc_id",
-        "keep_id",
-        F.col("n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-    ]
-    sure = flushed.join(entries, "digest")
-    if collided.isEmpty() and digest is sha256_digest:
-        return sure.withColumn("text_sha256", F.lower(F.hex("digest"))).select(*shape)
-    # Texts that share a digest without being equal, and digests other than SHA-256: by the text itself.
-    body = docs.select("doc_id", normalised(text_of()).alias("body"))
-    exact = body.groupBy("body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    return body.join(exact, "body").withColumn("text_sha256", F.sha2("body", 256)).select(*shape)
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        hex_of.alias("text_sha256"),
+    )
 
 
 def drop_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """docs without the rows whose normalised text a row of smaller doc_id has; columns unchanged."""
-    _, entries = _index(docs, digest)
-    if not written(_collisions(_hits(docs, entries, digest)), "collided").isEmpty():
-        return drop_copies(docs, lambda text: text)  # the text itself is the key
-    copies = entries.filter("n > 1").select(F.col("digest").alias("__quarry_digest"), F.col("keep_id").alias("__quarry_keep"))
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    key = digest(normalised(text_of()))
-    alone = docs.join(copies, key == F.col("__quarry_digest"), "left_anti")
-    stay = (
-        docs.join(copies, (key == F.col("__quarry_digest")) & F.col("doc_id").eqNullSafe(F.col("__quarry_keep")))
-        .dropDuplicates(["__quarry_digest"])
-        .select(*[docs[c] for c in docs.columns])
-    )
-    return alone.unionByName(stay)
+    _, hits = _index(docs, digest)
+    if digest is not whole_text and not _collisions(docs, hits, digest).isEmpty():
+        return drop_copies(docs, whole_text)
+    copies = hits.select(F.col("digest").alias("__quarry_digest"), F.col("keep_id").alias("__quarry_keep"))
+    may_hold, key = filter_of(hits.select("digest")), digest(normalised(text_of()))
+    marked = docs.withColumn("__quarry_key", key)
+    alone = marked.filter(~may_hold(F.col("__quarry_key")))
+    met = marked.filter(may_hold(F.col("__quarry_key"))).join(sized(copies, BROADCAST_ROWS), F.col("__quarry_key") == F.col("__quarry_digest"), "left")
+    single = met.filter(F.col("__quarry_digest").isNull())
+    stay = met.filter(F.col("__quarry_digest").isNotNull() & docs["doc_id"].eqNullSafe(F.col("__quarry_keep"))).dropDuplicates(["__quarry_digest"])
+    shape = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(*shape).unionByName(single.select(*shape)).unionByName(stay.select(*shape))
