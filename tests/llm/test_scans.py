@@ -80,14 +80,45 @@ def test_licences_equal_python(spark):
         plain = re.sub(r"[^a-z0-9\n]+", " ", t.lower())
         units = plain.split("\n") + [re.sub(r"[ \n]+", " ", p) for p in re.split(r"\n(?: ?\n)+", plain) if "\n" in p.strip(" ")]
         units = [u.strip(" ").split(" ") for u in units if " " in u.strip(" ")]
-        best = [{(dice({f"{a} {b}" for a, b in zip(u, u[1:], strict=False)}, g), n) for n, g in grams} for u in units]
-        hits = [{x for x in s if x[0] >= licenses.THRESHOLD} for s in best]
+        hits = []
+        for u in units:
+            own = {f"{a} {b}" for a, b in zip(u, u[1:], strict=False)}
+            near = [(dice(own, g), n, 2 * len(own & g) - len(g), g) for n, g in grams if dice(own, g) >= licenses.THRESHOLD]
+            kin = lambda x, y: x[1] != y[1] and len(x[3] & y[3]) >= licenses.KIN * min(len(x[3]), len(y[3]))
+            hits.append({x[:2] for x in near if not any(y[2] > x[2] and any(n == y[1] and kin(x, (0, n, 0, g)) for n, g in grams) for y in near)})
         assert got[i].n_units == len(units) and got[i].n_matches == sum(map(bool, hits))
         every = set().union(*hits) if hits else set()
         assert got[i].licences == ",".join(sorted({n for _, n in every}))
         assert got[i].best == (min(n for d, n in every if d == max(every)[0]) if every else None)
 
 
+FULL_MIT = """MIT License
+
+Copyright (c) 2019 Some Person
+
+""" + "\n\n".join(licenses.TEMPLATES["MIT"][1:])
+
+
+def wrapped(text, width=72):
+    import textwrap
+
+    return "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n\n"))
+
+
+def test_full_texts_and_kin(spark):
+    """Whole licence texts, wrapped as files hold them, and notices that differ in a word or two."""
+    T = licenses.TEMPLATES
+    bsd = "Copyright (c) 2001, Some Body\nAll rights reserved.\n\n" + "\n\n".join(T["BSD-2-Clause"][:3]) + "\n\n" + T["BSD-3-Clause"][0] + "\n\n" + T["BSD-2-Clause"][3]
+    rows = [
+        (1, wrapped(FULL_MIT), "MIT", 3), (2, wrapped(bsd), "BSD-2-Clause,BSD-3-Clause", 5), (3, wrapped("\n\n".join(T["Zlib"])), "Zlib", 5),
+        (4, wrapped(T["LGPL-3.0"][1]), "LGPL-3.0", 1), (5, wrapped(T["AGPL-3.0"][1]), "AGPL-3.0", 1), (6, wrapped(T["GPL-2.0"][1]), "GPL-2.0", 1),
+        (7, wrapped(T["GPL-3.0"][2]), "GPL-3.0", 1), (8, "Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0", 1), (9, T["CC-BY-ND-4.0"][1], "CC-BY-ND-4.0", 1),
+        (10, wrapped("\n\n".join(T["ISC"])), "ISC", 2), (11, wrapped("\n\n".join(T["BSL-1.0"][1:] + [licenses._AS_IS])), "BSL-1.0,MIT", 4),
+    ]
+    got = {r.doc_id: (r.licences, r.n_matches) for r in licenses.scan(documents(spark, [(i, t) for i, t, _, _ in rows]), within=True).collect()}
+    assert got == {i: (names, n) for i, _, names, n in rows}
+
+
 def test_licences_within_units(spark, tmp_path):
     """Notices that share their line, or are wrapped, in the registered query."""
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
