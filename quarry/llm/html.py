@@ -332,11 +332,11 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
         names = "article content main post entry story" if rng.random() < 0.8 else "c1 box col x9 wrapper"
         out.append(f"<{tag}{attr(names) if tag == 'div' or rng.random() < 0.4 else ''}>")
         maybe(0.8, leaf, rng.choice(("h1", "h2")), rng.randint(1, 12), True)
-        n = rng.choice((1, 2, 4, 8, 15))
+        n, paragraph = rng.choice((1, 2, 4, 8, 15)), "div" if tag in ("div", "section") and rng.random() < 0.3 else "p"
         for k in range(n):
             kind = rng.random()
             if kind < 0.75:
-                leaf("p", rng.choice((1, 2, 5, 12, 40, 90, 150)), True)
+                leaf(paragraph, rng.choice((1, 2, 5, 12, 40, 90, 150)), True)
             elif kind < 0.82:
                 leaf(rng.choice(("h2", "h3")), rng.randint(1, 6), True)
             elif kind < 0.88:
@@ -346,8 +346,10 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
                 out.append("</ul>")
             elif kind < 0.93:
                 leaf("blockquote", rng.randint(5, 60), True)
-            else:
+            elif kind < 0.98:
                 noise("div", WORD_FAMILIES[0] + " related share", 3, 25)
+            else:
+                noise("form", "form subscribe newsletter login search", 2, 15, rng.randint(1, 2))
         maybe(0.15, noise, "section", "comments comment discussion", 5, 60, rng.randint(1, 5))
         maybe(0.1, noise, "aside", "sidebar related widget", 3, 30)
         out.append(f"</{tag}>")
@@ -369,7 +371,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
     maybe(0.35, noise, rng.choice(("section", "div")), "comments comment replies discussion", 3, 70, rng.randint(1, 6))
     maybe(0.2, links, "div", rng.randint(2, 6), "related recommended share social")
     out.append("</div>" if wrapped else "")
-    maybe(0.25, noise, "form", "form subscribe newsletter login search", 2, 15)
+    maybe(0.25, noise, "form", "form subscribe newsletter login search", 2, 15, rng.randint(1, 2))
     maybe(0.2, noise, "div", WORD_FAMILIES[6], 5, 40)
     maybe(0.8, noise, rng.choice(("footer", "footer", "div")), "footer copyright legal", 3, 30)
     out.append("</body></html>" if rng.random() < 0.9 else "")
