@@ -1,7 +1,14 @@
-"""Shared plumbing: scratch tables in the shared folder, shipping of code to executors, words."""
+"""Shared plumbing: scratch tables in the shared folder, shipping of code to executors, words.
+
+Arrow batches are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), and the
+operators' functions take a batch in groups of texts of a megabyte or two, so they set nothing of the session.
+Intermediate tables lie in a folder of the application; results that are not yet read depend on them, so they go when the
+process ends (``drop_all``), or once ``settled`` has written what was made of them.
+"""
 
 from __future__ import annotations
 
+import atexit
 import gc
 import sys
 import tempfile
@@ -16,7 +23,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Stands in for a null doc_id where an order is needed: null comes last.
 LAST_ID = (1 << 63) - 1
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Tables written so far in this process, in order.
+_MADE: list[str] = []
 #: Temporary folders of local sessions without spark.checkpoint.dir, by application.
 _OWN: dict[str, str] = {}
 
@@ -37,12 +45,6 @@ def kept(name: str, make):
     return slot[name]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch than by default, as texts may be long; a setting of the caller's stays."""
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "1000")
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     sc = spark.sparkContext
@@ -55,7 +57,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +68,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make, name: str) -> DataFrame:
+    """make(), written; the tables that it wrote on the way are deleted."""
+    first = len(_MADE)
+    out = written(make(), name)
+    for path in _MADE[first:-1]:
+        drop_path(spark, path)
+    del _MADE[first:-1]
+    return out
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; results that were not written are lost with them."""
+    drop_path(spark, f"{scratch_dir(spark)}/quarry/{spark.sparkContext.applicationId}")
+    _MADE.clear()
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _MADE else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_all(spark)
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """A written table, to be sent to every executor if it has no more rows than that; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

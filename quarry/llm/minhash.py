@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, ship, small_batches, sized, text_of, written
+from .common import kept, ship, sized, text_of, written
 from .graph import components
 
 WORDS = re.compile(r"\w+")
@@ -222,7 +222,6 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, pairs): rows(doc_id, th, node) of every row of docs, pairs(node, other, similarity) that link nodes."""
-    small_batches(docs.sparkSession)
     read = written(
         docs.select("doc_id", F.md5(text_of()).alias("th"), signed(text_of()).alias("s")).select("doc_id", "th", "s.node", "s.bands"),
         "signed",

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, ship, small_batches, text_of
+from .common import kept, ship, text_of
 
 #: Pieces whose counts a worker remembers (memory is bounded by these and PIECE_CHARS).
 REMEMBERED = 500_000
@@ -89,7 +89,6 @@ class Counter:
 
 def token_count(spark: SparkSession, text: Column, path: str, cut: str = "space", call_bytes: int = 1 << 18) -> Column:
     """Tokens of a text column by the vocabulary file at ``path``, which the driver reads."""
-    small_batches(spark)
     with open(path, "rb") as f:
         data = f.read()
     shared = spark.sparkContext.broadcast(data if path.endswith(".model") else data.decode())

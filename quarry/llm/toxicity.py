@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ship, small_batches, text_of, written
+from .common import kept, ship, text_of, written
 
 WORDS = re.compile(r"\w+")
 FOLDS = 5
@@ -103,7 +103,6 @@ def least_ids(rows: DataFrame, n: int) -> DataFrame:
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Sample) -> tuple[pd.DataFrame, float]:
     """On the driver: (chosen buckets, their counts, positive) of at most positives + unlabelled texts, and the prior."""
-    small_batches(docs.sparkSession)
     key = F.xxhash64("doc_id")
     learn = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     n, toxic = learn.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()

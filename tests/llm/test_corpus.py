@@ -323,3 +323,22 @@ def test_pipeline_odd_rows(spark, tmp_path):
     spark.createDataFrame([(9, rows[-1][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     ids = sorted((r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
     assert ids == [1, 4, 6, 7]
+
+
+def test_intermediate_tables_go(spark):
+    """A settled table stays, what was written on the way to it goes; settings of the session stay as they are."""
+    import os
+
+    from quarry.llm import common
+
+    docs = documents(spark, ODD)
+    made = []
+
+    def make():
+        made.append(common.written(docs, "way").inputFiles()[0])
+        return exact.drop_copies(docs)
+
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions")
+    out = common.settled(spark, make, "stays")
+    assert out.count() == 5 and not os.path.exists(made[0].removeprefix("file://"))
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions"))
