@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, exact dedup, MinHash near-dedup, benchmark decontamination, mixing.
 
 Each stage takes all that the one before kept and returns the columns of documents; the last
-returns how much of each document the mixture takes. ``run`` writes every stage to the shared folder.
+returns how much of each document the mixture takes. ``run`` writes every stage to the shared folder and deletes what
+the stage wrote on the way.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontam, exact, minhash, mixing, toxicity
-from quarry.llm.common import table, written
+from quarry.llm.common import settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
