@@ -6,9 +6,10 @@ from pyspark.sql import types as T
 
 from quarry.plans.query import query
 from quarry.sources import api, crypto
-from quarry.sources.database import Database, TableError, forget, recover
+from quarry.sources import database
+from quarry.sources.database import Database, TableError, forget, recover, undo_pending
 from quarry.sources.schema import Column
-from quarry.sources.store import Conflict
+from quarry.sources.store import Conflict, Store
 from quarry.sources.versions import ChangeLog, WriteBuffer
 
 COLUMNS = [
@@ -91,6 +92,121 @@ def test_transactions(db):
     assert forget(db, 9e12) > 0 and recover(db).count() == 0
 
 
+@pytest.fixture
+def two(db):
+    db.create_table("logs", [Column("id", "INT64", primary_key=True), Column("what", "STRING")])
+    db.insert("users", {"name": "first"})
+    return db
+
+
+def both(db):
+    return names(db), sorted(r.what for r in db.table("logs").collect())
+
+
+def started(db):
+    t = db.begin()
+    t.insert("logs", {"id": 1, "what": "new"})
+    t.insert("users", {"name": "new"})
+    return t
+
+
+def states(db):
+    return [r.state for r in recover(db).collect()]
+
+
+def test_second_table_conflicts(two):
+    """Another writer commits between the first and the second table: nothing is visible in either."""
+    t, commit = started(two), two._commit
+
+    def meanwhile(name, *how):
+        if name == "users":
+            commit("users", Database(two.spark, two.store.root)._inserted("users", two._manifest("users"), [{"name": "other"}])[0], "insert")
+        return commit(name, *how)
+
+    two._commit = meanwhile
+    with pytest.raises(Conflict):
+        t.commit()
+    del two._commit
+    assert both(two) == (["first", "other"], []) and states(two) == ["aborted"] and t.state == "aborted"
+    two.insert("logs", {"id": 2, "what": "later"})  # past the manifest that was given up
+    assert both(two) == (["first", "other"], ["later"])
+
+
+@pytest.mark.parametrize("dies_at", ["users", "outcome"])
+def test_death_between_tables(two, monkeypatch, dies_at):
+    """The process dies after one table's manifest, or after both and before the outcome."""
+    t, commit = started(two), two._commit
+    if dies_at == "users":
+        two._commit = lambda name, *how: commit(name, *how) if name != "users" else (_ for _ in ()).throw(KeyboardInterrupt)
+    else:
+        two._decide = lambda *_: (_ for _ in ()).throw(KeyboardInterrupt)
+    with pytest.raises(KeyboardInterrupt):
+        t.commit()
+    after = Database(two.spark, two.store.root)
+    assert both(after) == (["first"], []) and states(after) == ["pending"]
+    with pytest.raises(Conflict):
+        after.insert("logs", {"id": 3, "what": "too early"})
+    monkeypatch.setattr(database, "LEASE", 0.0)
+    after.insert("logs", {"id": 3, "what": "later"})  # gives the dead transaction up
+    assert both(after) == (["first"], ["later"]) and states(after) == ["aborted"]
+    assert not after._decide(t.id, "COMMIT")  # should it come back, it learns so
+    assert after.vacuum() > 0 and both(after) == (["first"], ["later"])
+
+
+def test_pending_transactions_are_undone(two):
+    t = started(two)
+    files = set(t.staged["logs"]["files"] + t.staged["users"]["files"]) - set(two._manifest("users")["files"])
+    assert states(two) == ["pending"] and undo_pending(two) == 0
+    assert undo_pending(two, older=0.0) == 1 and states(two) == ["aborted"]
+    assert not any(two.store.exists(f"{n}/{f}") for n in ("logs", "users") for f in files)
+    with pytest.raises(Conflict):
+        t.commit()
+    assert both(two) == (["first"], []) and t.state == "aborted"
+
+
+def test_commit_survives_the_log(two):
+    with two.begin() as t:
+        t.insert("logs", {"id": 1, "what": "new"})
+        t.update("users", {"name": "changed"})
+    assert both(two) == (["changed"], ["new"]) and states(two) == ["committed"]
+    assert forget(two, 9e12) > 0 and recover(two).count() == 0 and both(two) == (["changed"], ["new"])
+    two.vacuum()
+    two.insert("logs", {"id": 2, "what": "more"})
+    assert both(two) == (["changed"], ["more", "new"])
+    two.vacuum()
+    assert both(two) == (["changed"], ["more", "new"]) and not [n for n in two.store.names("_txn") if t.id in n] == []
+
+
+def test_records_of_a_wrong_checksum_are_passed_over(two):
+    started(two)
+    name = next(n for n in two.store.names("_wal") if not n.startswith("."))
+    r = two.store.read(f"_wal/{name}")
+    two.store.delete(f"_wal/{name}")
+    two.store.create(f"_wal/{name}", r | {"crc": r["crc"] ^ 1})
+    assert [tuple(r)[1:] for r in recover(two).collect()] == [("pending", 1)]
+
+
+def test_files_are_made_once_and_whole(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    store.create("a/x.json", {"k": 1})
+    for name in (store._name, store._rename):
+        store._name = name
+        with pytest.raises(Conflict):
+            store.create("a/x.json", {"k": 2})
+        store.create(f"a/{name.__name__}.json", {"k": 3})
+        assert store.read(f"a/{name.__name__}.json") == {"k": 3}
+    assert store.read("a/x.json") == {"k": 1} and [n for n in store.names("a") if not n.endswith(".crc")] == ["_name.json", "_rename.json", "x.json"]
+
+
+def test_frames_are_numbered_without_gaps(db, spark):
+    rows = spark.range(100).repartition(7).selectExpr("concat('n', id) AS name")
+    assert db.insert_frame("users", rows) == 100 and db.insert("users", {"name": "z"}) == 100
+    assert db.insert_frame("users", rows.limit(0)) == 0 and db.insert_frame("users", rows.limit(3)) == 3
+    got = db.scan("users").select("_row_id", "id").collect()
+    assert sorted(r._row_id for r in got) == list(range(104)) and sorted(r.id for r in got) == list(range(1, 105))
+    assert db.store.names("users/_stage") == []
+
+
 def test_catalog(db, tmp_path, spark):
     assert db.list_tables() == ["users"] and not db.create_table("users", COLUMNS)
     with pytest.raises(TableError):
