@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 from functools import partial
 
@@ -15,6 +15,7 @@ from quarry.sources import api, crypto
 from quarry.sources.database import Database, recover
 from quarry.sources.schema import Column
 from quarry.sources.service import Service
+from quarry.sources.store import Conflict, scratch
 from quarry.sources.versions import ChangeLog, WriteBuffer, compacted_changes
 from quarry.streaming import stateful
 
@@ -24,12 +25,6 @@ from .query import query
 from .registry import load, register
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a local one only where spark.checkpoint.dir is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 CUSTOMER = [
     Column("c_custkey", "INT64", nullable=False, primary_key=True), Column("c_name", "STRING"), Column("c_nationkey", "INT32", indexed=True),
     Column("c_acctbal", "FLOAT64", default=0.0), Column("c_mktsegment", "STRING", default="NONE"),
@@ -125,6 +120,29 @@ def txn_recover(spark, sf_dir):
     return recover(db).select("state", "operations")
 
 
+@register("txn_two_tables", "SELECT 'customer' AS name, c_custkey AS id, CASE WHEN c_nationkey = 1 THEN 'T' ELSE c_mktsegment END AS what FROM customer UNION ALL SELECT 'audit', count(*), 'changed' FROM customer WHERE c_nationkey = 1")
+def txn_two_tables(spark, sf_dir):
+    """Of three transactions over two tables one commits, one loses its second table to another writer, one dies before its outcome."""
+    db = customers(spark, sf_dir)
+    db.create_table("audit", [Column("id", "INT64"), Column("what", "STRING")])
+    with db.begin() as t:
+        n = t.update("customer", {"c_mktsegment": "T"}, {"c_nationkey": 1})
+        t.insert("audit", {"id": n, "what": "changed"})
+    late = db.begin()
+    late.insert("audit", {"id": -1, "what": "late"})
+    late.delete("customer", {"c_nationkey": 3})
+    db.update("customer", {"c_acctbal": 0.0}, {"c_nationkey": 4})
+    with contextlib.suppress(Conflict):
+        late.commit()
+    dead = db.begin()
+    dead.insert("audit", {"id": -2, "what": "dead"})
+    dead.delete("customer")
+    for name in ("audit", "customer"):
+        db._commit(name, dead.staged[name], "transaction", dead.id)
+    rows = db.table("customer").select(F.lit("customer").alias("name"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("what"))
+    return rows.unionByName(db.table("audit").select(F.lit("audit").alias("name"), "id", "what"))
+
+
 @register("src_time_travel", f"SELECT {ALL} FROM customer")
 def time_travel(spark, sf_dir):
     """The version before a delete is still there."""
@@ -282,8 +300,9 @@ def mor_buffer(spark, sf_dir):
     """Buffered changes come before those of the log."""
     log = _log(spark, sf_dir)
     buffer = WriteBuffer(log, entries=400)
-    for r in load(spark, sf_dir, "events").filter("event_id % 10 = 0").select("event_id").orderBy("event_id").toLocalIterator():
-        buffer.put(r.event_id, {"event_type": "buffer", "n": r.event_id})
+    buffer.put_frame(load(spark, sf_dir, "events").filter("event_id % 10 = 0").select(F.col("event_id").alias("_row_id"), F.lit("buffer").alias("event_type"), F.col("event_id").alias("n")))
+    buffer.put(10, {"event_type": "last", "n": 10})
+    buffer.put(10, {"event_type": "buffer", "n": 10})
     return buffer.scan().select("_row_id", "event_type", "n")
 
 
@@ -320,7 +339,11 @@ def chunks(spark, sf_dir):
     return nation.select("n_nationkey", F.floor((number - 1) / 7).cast("long").alias("chunk"))
 
 
-@register("hsh_crc32")
+@register(
+    "hsh_crc32",
+    "SELECT n_nationkey, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(n_name[k])::BIGINT for k in range(1, length(n_name) + 1)]), "
+    "lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [k::BIGINT for k in range(0, 8)]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))::BIGINT AS crc FROM nation",
+)
 def crc(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", F.crc32(F.col("n_name").cast("binary")).alias("crc"))
 

@@ -32,14 +32,20 @@ class ChangeLog:
         self.spark, self.store, self.fanout = spark, Store(spark, root), fanout
         self.schema = T.StructType(META + schema.fields)
 
-    def _runs(self) -> list[tuple[int, str]]:
-        """(level, name) of every run that the newest registry lists."""
+    def _registry(self) -> tuple[list[tuple[int, str]], int, int]:
+        """(level, name) of every run that the newest registry lists, the last version given, and the registry's number."""
         known = [n for n in self.store.names("_registry") if n.endswith(".json") and not n.startswith(".")]
-        return [tuple(r) for r in self.store.read(f"_registry/{known[-1]}")] if known else []
+        if not known:
+            return [], 0, -1
+        now = self.store.read(f"_registry/{known[-1]}")
+        return [tuple(r) for r in now["runs"]], now["version"], int(known[-1].split(".")[0])
+
+    def _runs(self) -> list[tuple[int, str]]:
+        return self._registry()[0]
 
-    def _register(self, runs: list[tuple[int, str]]) -> None:
-        n = len([x for x in self.store.names("_registry") if x.endswith(".json") and not x.startswith(".")])
-        self.store.create(f"_registry/{n:020d}.json", runs)
+    def _register(self, runs: list[tuple[int, str]], version: int, after: int) -> None:
+        """The registry that follows number ``after``; fails if another writer was first."""
+        self.store.create(f"_registry/{after + 1:020d}.json", {"runs": runs, "version": version})
 
     def _write(self, rows: DataFrame, level: int) -> tuple[int, str]:
         name = f"runs/{uuid.uuid4().hex}"
@@ -52,26 +58,32 @@ class ChangeLog:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[self.store.at(n) for _, n in runs])
 
-    def append(self, changes: DataFrame) -> None:
-        """A run of level 0, from a batch of changes."""
-        self._register([*self._runs(), self._write(changes.select(*self.schema.names), 0)])
+    def append(self, changes: DataFrame, version: int | None = None) -> None:
+        """A run of level 0, from a batch of changes; version: the greatest of them, if it is known."""
+        runs, last, after = self._registry()
+        run = self._write(changes.select(*self.schema.names), 0)
+        if version is None:
+            version = self.spark.read.schema(self.schema).parquet(self.store.at(run[1])).agg(F.max("_version")).first()[0] or 0
+        self._register([*runs, run], max(last, version), after)
 
     def _next(self) -> int:
-        return (self.changes().agg(F.max("_version")).first()[0] or 0) + 1
+        """The version after the last, which the registry knows."""
+        return self._registry()[1] + 1
 
     def put(self, rows: DataFrame) -> None:
-        """New versions of rows that carry their _row_id; columns they lack keep their last value."""
+        """New versions of rows that carry their _row_id; columns they lack keep their last value, which only the changes of those ids are merged for."""
         version = self._next()
         missing = [c for c in self.schema.names if c not in rows.columns and c not in ("_version", "_deleted")]
         if missing:
-            old = self.scan().select("_row_id", *missing)
-            rows = rows.join(old, "_row_id", "left")
-        self.append(rows.withColumn("_version", F.lit(version).cast("long")).withColumn("_deleted", F.lit(False)))
+            known = self.changes().join(rows.select("_row_id").distinct(), "_row_id", "left_semi")
+            rows = rows.join(merged(known).select("_row_id", *missing), "_row_id", "left")
+        self.append(rows.withColumn("_version", F.lit(version).cast("long")).withColumn("_deleted", F.lit(False)), version)
 
     def delete(self, ids: DataFrame) -> None:
         """Tombstones of row ids."""
+        version = self._next()
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields[len(META) :]]
-        self.append(ids.select("_row_id", F.lit(self._next()).cast("long").alias("_version"), F.lit(True).alias("_deleted"), *empty))
+        self.append(ids.select("_row_id", F.lit(version).cast("long").alias("_version"), F.lit(True).alias("_deleted"), *empty), version)
 
     def scan(self, low: int | None = None, high: int | None = None) -> DataFrame:
         """Live rows, of a range of ids; the range reaches the Parquet scan."""
@@ -94,23 +106,25 @@ class ChangeLog:
 
     def compact(self) -> None:
         """All runs become one of live rows."""
-        self._register([self._write(self.scan().select(*self.schema.names), LEVELS - 1)])
+        _, version, after = self._registry()
+        self._register([self._write(self.scan().select(*self.schema.names), LEVELS - 1)], version, after)
 
     def compact_levels(self) -> bool:
         """Levels of ``fanout`` runs become one run of the next; tombstones go only at the last level."""
+        runs, version, after = self._registry()
         for level in range(LEVELS - 1):
-            runs = self._runs()
             mine = [r for r in runs if r[0] == level]
             if len(mine) >= self.fanout:
                 rows = self.spark.read.schema(self.schema).parquet(*[self.store.at(n) for _, n in mine])
                 last = not [r for r in runs if r[0] > level]
                 one = self._write(merged(rows, tombstones=not last).select(*self.schema.names), level + 1)
-                self._register([r for r in runs if r[0] != level] + [one])
+                self._register([r for r in runs if r[0] != level] + [one], version, after)
                 return True
         return False
 
     def clear(self) -> None:
-        self._register([])
+        _, version, after = self._registry()
+        self._register([], version, after)
 
     def stats(self) -> DataFrame:
         return self.changes().agg(
@@ -120,8 +134,8 @@ class ChangeLog:
 
 
 class WriteBuffer:
-    """An ordered write buffer of changes in memory, flushed to a ChangeLog as a run at a number of
-    entries or bytes. Reads see the buffer before the log."""
+    """An ordered write buffer of single changes in memory, flushed to a ChangeLog as a run at a number of
+    entries or bytes. Reads see the buffer before the log. Many changes at once come as a frame, which is a run of its own."""
 
     def __init__(self, log: ChangeLog, entries: int = 100_000, size: int = 64 << 20):
         self.log, self.entries, self.size = log, entries, size
@@ -138,12 +152,18 @@ class WriteBuffer:
         if len(self.rows) >= self.entries or self.bytes >= self.size:
             self.flush()
 
+    def put_frame(self, rows: DataFrame) -> None:
+        """New versions of many rows, after those of the buffer; they do not pass through the driver."""
+        self.flush()
+        self.log.put(rows)
+        self._last = self.log._next() - 1
+
     def changes(self) -> DataFrame:
         return self.log.spark.createDataFrame(sorted(self.rows.values()), self.log.schema)
 
     def flush(self) -> None:
         if self.rows:
-            self.log.append(self.changes().coalesce(1))
+            self.log.append(self.changes().coalesce(1), self._last)
             self.rows, self.bytes = {}, 0
 
     def scan(self) -> DataFrame:

@@ -296,3 +296,22 @@ def test_write_buffer(spark, tmp_path):
     assert {(r._row_id, r.v) for r in buffer.scan().collect()} == {(1, "e"), (3, "d")}
     buffer.flush()
     assert not buffer.rows and {(r._row_id, r.v) for r in log.scan().collect()} == {(1, "e"), (3, "d")}
+    buffer.put(3, {"v": "x"})
+    buffer.put_frame(spark.createDataFrame([(3, "y"), (4, "z")], "_row_id long, v string"))
+    buffer.put(4, {"v": "last"})
+    assert {(r._row_id, r.v) for r in buffer.scan().collect()} == {(1, "e"), (3, "y"), (4, "last")}
+
+
+def test_versions_come_from_the_registry(spark, tmp_path):
+    log = ChangeLog(spark, f"file://{tmp_path}", T.StructType([T.StructField("v", T.StringType()), T.StructField("w", T.StringType())]))
+    log.put(spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "_row_id long, v string, w string"))
+    log.put(spark.createDataFrame([(1, "x")], "_row_id long, v string"))
+    assert log._registry()[1] == 2 and {tuple(r)[0:1] + (r.v, r.w) for r in log.scan().collect()} == {(1, "x", "b"), (2, "c", "d")}
+    log.compact()
+    log.clear()
+    assert log._next() == 3  # versions are not used twice
+    late = ChangeLog(spark, f"file://{tmp_path}", T.StructType([T.StructField("v", T.StringType()), T.StructField("w", T.StringType())]))
+    before = late._registry()
+    log.delete(spark.createDataFrame([(1,)], "_row_id long"))
+    with pytest.raises(Conflict):
+        late._register(*before)
