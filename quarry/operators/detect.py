@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions.numbers import micros
+from quarry.operators import pieces
 
 #: Seconds of a key's events that one task looks at, at least: a hot key spreads over many tasks.
 SPLIT_SECONDS = 3600
@@ -39,8 +40,12 @@ NUKE_THRESHOLDS = {"ban": 3, "kick": 5, "channel_create": 5, "channel_delete": 3
 def mass_actions(events: DataFrame, thresholds: dict[str, int], trusted: list[int] = (), seconds: int = 60, actor: str = "user_id") -> DataFrame:
     """Actions by users who are not trusted that reach the threshold of their kind."""
     watched = events.filter(F.col("event_type").isin(list(thresholds)) & ~F.col(actor).isin(list(trusted)))
-    limit = X.lookup(thresholds, F.col("event_type"), 1 << 30)
-    return trailing_count(watched, ["event_type", "guild_id", actor], seconds).filter(F.col("recent") >= limit)
+    return over_limits(trailing_count(watched, ["event_type", "guild_id", actor], seconds), thresholds)
+
+
+def over_limits(counted: DataFrame, thresholds: dict[str, int]) -> DataFrame:
+    """Counted actions that reach the threshold of their kind."""
+    return counted.filter(F.col("recent") >= X.lookup(thresholds, F.col("event_type"), 1 << 30))
 
 
 def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -50,17 +55,13 @@ def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return picked.select(*keys, "_row.*")
 
 
-def changes(rows: DataFrame, keys: list[str], order: list[str], status: str, ignored: tuple[str, ...] = ("pending",)) -> DataFrame:
+def changes(rows: DataFrame, keys: list[str], status: str, ignored: tuple[str, ...] = ("pending",), **order) -> DataFrame:
     """Rows whose status differs from the one before, statuses in ``ignored`` passed over."""
-    before = F.lag(status).over(Window.partitionBy(*keys).orderBy(*order))
-    seen = rows.filter(~F.col(status).isin(list(ignored))).withColumn("previous", before)
+    seen = pieces.previous(rows.filter(~F.col(status).isin(list(ignored))), keys, [status], **order)
+    seen = seen.withColumn("previous", F.col(f"_previous.{status}")).drop("_previous")
     return seen.filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(status)))
 
 
-def sequence_numbers(rows: DataFrame, keys: list[str], order: list[str], out: str = "number") -> DataFrame:
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
 def first_of_day(rows: DataFrame, keys: list[str], limit: int = 15, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """The first ``limit`` rows of each key and day."""
     day = F.col(ts).cast("date")
@@ -75,6 +76,19 @@ def leaderboard(totals: DataFrame, guild: str, score: str, user: str, top: int =
     return ranked.withColumn("page", F.floor((F.col("rank") - 1) / 10).cast("int") + 1)
 
 
+def own_rank(totals: DataFrame, guild: str, score: str, user: str, who: dict[int, int], top: int = 100) -> DataFrame:
+    """The rank of a user in each guild (who: user by guild), or null where the user is not among the first ``top``. One row
+    a guild is compared with the guild's totals: nothing is sorted."""
+    asked = totals.sparkSession.createDataFrame(list(who.items()), f"{guild} long, _who long")
+    met = totals.join(F.broadcast(asked), guild)
+    mine = met.filter(F.col(user) == F.col("_who")).select(F.col(guild).alias("_g"), F.col(score).alias("_mine"))
+    ahead = met.join(F.broadcast(mine), F.col(guild) == F.col("_g")).groupBy(guild, "_who").agg(
+        F.count_if((F.col(score) > F.col("_mine")) | ((F.col(score) == F.col("_mine")) & (F.col(user) < F.col("_who")))).alias("ahead")
+    )
+    ranked = asked.join(ahead, [guild, "_who"], "left")
+    return ranked.select(guild, F.col("_who").alias(user), F.when(F.col("ahead") < top, F.col("ahead") + 1).cast("int").alias("rank"))
+
+
 def verdict(text: str, recent: Column, allowed: list[str] = (), spam: int = 5, emojis: int = 10, mentions: int = 5, newlines: int = 10) -> Column:
     """The first violation in order: spam, caps, invite, link, emoji, mention, newline; null if none."""
     links = X.urls(text)
@@ -109,7 +123,6 @@ def apply_rules(messages: DataFrame, rules: list[dict], text: str = "text") -> D
     return messages.withColumn("rule", out)
 
 
-def strikes(matches: DataFrame, user: str, rule: str, order: list[str], limit: int) -> DataFrame:
+def strikes(matches: DataFrame, user: str, rule: str, limit: int, **order) -> DataFrame:
     """matches with the strike number per user and rule, and whether it escalates."""
-    number = F.row_number().over(Window.partitionBy(user, rule).orderBy(*order))
-    return matches.withColumn("strike", number).withColumn("escalates", F.col("strike") >= limit)
+    return pieces.numbered(matches, [user, rule], "strike", **order).withColumn("escalates", F.col("strike") >= limit)

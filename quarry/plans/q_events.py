@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions.numbers import seconds_between
-from quarry.operators import detect, fanout, folds, joins, metrics, placement, similarity
+from quarry.operators import detect, fanout, folds, joins, metrics, pieces, placement, similarity
 
 from . import q_text, recurrence_sql
 from .registry import load, register
@@ -117,11 +117,12 @@ def spam_alerts(spark, sf_dir):
     return detect.alerts(events(spark, sf_dir), ["guild_id", "user_id"], 86400, 3).select("event_id")
 
 
-@register(
-    "win_nuke",
-    f"SELECT event_id, recent FROM (SELECT event_id, event_type, {_trailing_sql('event_type, guild_id, user_id', 40000)} AS recent FROM {EVENTS} WHERE event_type IN ('click', 'error') AND user_id NOT IN (1, 2)) "
-    "WHERE recent >= CASE event_type WHEN 'click' THEN 2 ELSE 1 END",
-)
+def trailing_actions() -> str:
+    """SQL of the watched actions with their trailing counts."""
+    return f"SELECT event_id, event_type, {_trailing_sql('event_type, guild_id, user_id', 40000)} AS recent FROM {EVENTS} WHERE event_type IN ('click', 'error') AND user_id NOT IN (1, 2)"
+
+
+@register("win_nuke", f"SELECT event_id, recent FROM ({trailing_actions()}) WHERE recent >= CASE event_type WHEN 'click' THEN 2 ELSE 1 END")
 def nuke(spark, sf_dir):
     return detect.mass_actions(events(spark, sf_dir), {"click": 2, "error": 1}, [1, 2], 40000).select("event_id", "recent")
 
@@ -136,6 +137,17 @@ def leaderboard(spark, sf_dir):
     return detect.leaderboard(totals, "guild_id", "xp", "user_id")
 
 
+@register(
+    "win_own_rank",
+    "WITH t AS (SELECT guild_id, user_id, sum(15 + event_id % 11)::BIGINT AS xp FROM (SELECT *, user_id % 7 AS guild_id FROM events) GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY guild_id ORDER BY xp DESC, user_id) AS n FROM t) "
+    "SELECT g.guild_id, g.guild_id + 7 AS user_id, CASE WHEN n <= 100 THEN n END::INTEGER AS rank FROM range(0, 7) g(guild_id) LEFT JOIN r ON r.guild_id = g.guild_id AND r.user_id = g.guild_id + 7",
+)
+def own_rank(spark, sf_dir):
+    totals = events(spark, sf_dir).groupBy("guild_id", "user_id").agg(F.sum(15 + F.col("event_id") % 11).alias("xp"))
+    return detect.own_rank(totals, "guild_id", "xp", "user_id", {g: g + 7 for g in range(7)})
+
+
 @register("win_daily_cap", f"SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY guild_id, ts::DATE ORDER BY ts, event_id) AS n FROM {EVENTS}) WHERE n <= 15")
 def daily_cap(spark, sf_dir):
     return detect.first_of_day(events(spark, sf_dir), ["guild_id"]).select("event_id")
@@ -143,7 +155,7 @@ def daily_cap(spark, sf_dir):
 
 @register("win_sequence", f"SELECT event_id, row_number() OVER (PARTITION BY guild_id ORDER BY ts, event_id)::INTEGER AS number FROM {EVENTS}")
 def sequence(spark, sf_dir):
-    return detect.sequence_numbers(events(spark, sf_dir), ["guild_id"], ["ts", "event_id"]).select("event_id", "number")
+    return pieces.numbered(events(spark, sf_dir), ["guild_id"]).select("event_id", "number")
 
 
 @register(
@@ -151,7 +163,7 @@ def sequence(spark, sf_dir):
     "SELECT event_id, event_type, previous FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events WHERE event_type <> 'view') WHERE previous <> event_type",
 )
 def status_change(spark, sf_dir):
-    return detect.changes(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", ("view",)).select("event_id", "event_type", "previous")
+    return detect.changes(load(spark, sf_dir, "events"), ["user_id"], "event_type", ("view",)).select("event_id", "event_type", "previous")
 
 
 @register("win_latest", "SELECT user_id, max_by(event_id, event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -169,7 +181,7 @@ def newest(spark, sf_dir):
     "SELECT event_id, strike, strike >= 3 AS escalates FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)::INTEGER AS strike FROM events)",
 )
 def strikes(spark, sf_dir):
-    return detect.strikes(load(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], 3).select("event_id", "strike", "escalates")
+    return detect.strikes(load(spark, sf_dir, "events"), "user_id", "event_type", 3).select("event_id", "strike", "escalates")
 
 
 @register(
@@ -178,7 +190,7 @@ def strikes(spark, sf_dir):
 )
 def violation_reset(spark, sf_dir):
     """Every third violation of a user mutes and starts the count again."""
-    rows = detect.sequence_numbers(load(spark, sf_dir, "events").filter("event_type = 'error'"), ["user_id"], ["ts", "event_id"])
+    rows = pieces.numbered(load(spark, sf_dir, "events").filter("event_type = 'error'"), ["user_id"])
     return rows.select("event_id", (F.col("number") % 3 == 0).alias("mutes"))
 
 
@@ -198,7 +210,8 @@ def verdict(spark, sf_dir):
     return rows.select("conv_id", "turn", detect.verdict("text", F.col("recent"), ["example.com"], spam=40).alias("verdict"))
 
 
-# Recurrences, against recursive SQL.
+# Recurrences, against recursive SQL. Those that running values express are not folded row by row.
+SPLIT = {folds.Points: pieces.points, folds.Away: pieces.away, folds.Levels: pieces.levels}
 for _name, _keys, _make, _values, _sql in [
     ("lim_token_bucket", ["guild_id"], partial(folds.TokenBucket, 3, 3600.0), [], recurrence_sql.token_bucket("guild_id", 3, 3600.0)),
     ("lim_token_bucket_member", ["guild_id", "user_id"], partial(folds.TokenBucket, 1, 86400.0), [], recurrence_sql.token_bucket("guild_id, user_id", 1, 86400.0)),
@@ -213,7 +226,8 @@ for _name, _keys, _make, _values, _sql in [
 
     def _fold(spark, sf_dir, keys=_keys, make=_make, values=_values):
         rows = events(spark, sf_dir).withColumns({"bad": F.col("event_type") == "error", "change": F.col("event_id") % 5 - 2, "gained": 15 + F.col("event_id") % 11})
-        out = folds.sequential(rows, keys, make, values)
+        kind = make.func if isinstance(make, partial) else make
+        out = SPLIT[kind](rows, keys, values[0]) if kind in SPLIT else folds.sequential(rows, keys, make, values)
         return out.select("event_id", *folds.names((make.func if isinstance(make, partial) else make).fields))
 
     register(_name, _sql)(_fold)
@@ -240,14 +254,16 @@ def hash_distribution(spark, sf_dir):
 
 @register(
     "met_bucket_distribution",
-    "WITH b AS (SELECT r.bucket, count(e.event_id) AS n FROM range(0, 64) r(bucket) LEFT JOIN (SELECT event_id, ('0x' || right(md5(event_id::VARCHAR), 3))::INTEGER % 64 AS bucket FROM events WHERE event_id % 9 = 0) e USING (bucket) GROUP BY 1) "
-    "SELECT sum(n)::BIGINT AS total_ids, count(*) AS num_buckets, avg(n) AS expected_per_bucket, max(n) AS max_bucket_count, min(n) AS min_bucket_count FROM b",
+    "WITH b AS (SELECT r.bucket, count(e.event_id) AS n FROM range(0, 64) r(bucket) LEFT JOIN (SELECT event_id, ('0x' || right(md5(event_id::VARCHAR), 3))::INTEGER % 64 AS bucket FROM events) e USING (bucket) GROUP BY 1) "
+    "SELECT sum(n)::BIGINT AS total_ids, count(*) AS num_buckets, avg(n) AS expected_per_bucket, max(n) AS max_bucket_count, min(n) AS min_bucket_count, round(stddev_pop(n), 6) AS std_deviation, "
+    "round(stddev_pop(n) / avg(n) * 100, 6) AS deviation_percent, round((max(n) - avg(n)) / avg(n) * 100, 6) AS max_deviation_from_expected FROM b",
 )
 def bucket_distribution(spark, sf_dir):
     from quarry.functions.hashing import hash_bucket
 
-    rows = load(spark, sf_dir, "events").filter("event_id % 9 = 0").select(hash_bucket(F.col("event_id"), 64).alias("bucket"))
-    return placement.spread(rows, "bucket", 64).drop("std_deviation", "deviation_percent", "max_deviation_from_expected")
+    rows = load(spark, sf_dir, "events").select(hash_bucket(F.col("event_id"), 64).alias("bucket"))
+    out = placement.spread(rows, "bucket", 64)
+    return out.withColumns({c: F.round(c, 6) for c in ("std_deviation", "deviation_percent", "max_deviation_from_expected")})
 
 
 # Unions of sources.
@@ -376,4 +392,4 @@ def levenshtein(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_brand").alias("distance"))
 
 
-__all__ = ["EVENTS", "X", "events"]
+__all__ = ["EVENTS", "X", "events", "trailing_actions"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import documents as D
-from quarry.operators import domain, folds
+from quarry.operators import detect, domain, folds
 from quarry.sources import api, crypto
 from quarry.sources.database import Database, recover
 from quarry.sources.schema import Column
@@ -20,7 +20,7 @@ from quarry.sources.versions import ChangeLog, WriteBuffer, compacted_changes
 from quarry.streaming import stateful
 
 from . import recurrence_sql
-from .q_events import events
+from .q_events import events, trailing_actions
 from .query import query
 from .registry import load, register
 
@@ -444,9 +444,10 @@ def purge(spark, sf_dir):
 
 
 # Streams, replayed over the table at hand.
-def _replayed(spark: SparkSession, sf_dir: str, keys: list[str], make, values: list[str] = ()) -> DataFrame:
-    rows = stateful.replay(spark, f"{sf_dir}/events.parquet").withColumns({"guild_id": F.col("user_id") % 7, "bad": F.col("event_type") == "error"})
-    return stateful.stateful(rows, keys, make, values)
+def _replayed(spark: SparkSession, sf_dir: str, keys: list[str], make, values: list[str] = (), where: str = "true") -> DataFrame:
+    rows = stateful.replay(stateful.replay_session(spark, f"{sf_dir}/events.parquet"), f"{sf_dir}/events.parquet")
+    rows = rows.withColumns({"guild_id": F.col("user_id") % 7, "bad": F.col("event_type") == "error", "gained": 15 + F.col("event_id") % 11})
+    return stateful.stateful(rows.filter(where), keys, make, values)
 
 
 STREAM_COLUMNS = {
@@ -458,6 +459,8 @@ STREAM_COLUMNS = {
     "stm_strikes": (["user_id", "event_type"], partial(stateful.Strikes, 3), []),
     "stm_adaptive": (["user_id"], partial(folds.AdaptiveCooldown, 10.0), ["bad"]),
     "stm_afk": (["user_id"], folds.Away, ["bad"]),
+    "stm_global": (["guild_id"], partial(folds.GlobalCooldown, 1800.0), []),
+    "stm_levels": (["guild_id", "user_id"], partial(folds.Levels, 15), ["gained"]),
 }
 _SPAM = "count(*) OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)"
 STREAM_SQL = {
@@ -468,6 +471,8 @@ STREAM_SQL = {
     "stm_transitions": recurrence_sql.transitions("user_id", "view"),
     "stm_adaptive": recurrence_sql.adaptive("user_id", 10.0),
     "stm_afk": recurrence_sql.away("user_id"),
+    "stm_global": recurrence_sql.global_cooldown("guild_id", 1800.0),
+    "stm_levels": recurrence_sql.levels("guild_id, user_id", 15),
     "stm_strikes": "SELECT event_id, n AS strike, n >= 3 AS escalates FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)",
 }
 for _name, (_keys, _make, _values) in STREAM_COLUMNS.items():
@@ -475,15 +480,24 @@ for _name, (_keys, _make, _values) in STREAM_COLUMNS.items():
     def _stream(spark, sf_dir, name=_name, keys=_keys, make=_make, values=_values):
         out = folds.names((make.func if isinstance(make, partial) else make).fields)
         made = _replayed(spark, sf_dir, keys, make, values).select("event_id", *out)
-        return stateful.drained(made, f"{name}_{uuid.uuid4().hex}", scratch(spark, name))
+        return stateful.drained(spark, made, scratch(spark, name))
 
     register(_name, STREAM_SQL.get(_name))(_stream)
 
 
+@register("stm_nuke", f"SELECT event_id, recent FROM ({trailing_actions()}) WHERE recent >= CASE event_type WHEN 'click' THEN 2 ELSE 1 END")
+def stream_nuke(spark, sf_dir):
+    """Mass actions by users who are not trusted: counts by kind, guild and user, which go when they are as old as the window."""
+    made = _replayed(spark, sf_dir, ["event_type", "guild_id", "user_id"], partial(stateful.Trailing, 40000), where="event_type IN ('click', 'error') AND user_id NOT IN (1, 2)")
+    rows = stateful.drained(spark, made, scratch(spark, "nuke"))
+    return detect.over_limits(rows, {"click": 2, "error": 1}).select("event_id", "recent")
+
+
 @register("stm_windows", "SELECT epoch_us(time_bucket(INTERVAL '5 minutes', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
-    made = stateful.window_counts(stateful.replay(spark, f"{sf_dir}/events.parquet"), "5 minutes", ["event_type"])
-    rows = stateful.drained(made, f"windows_{uuid.uuid4().hex}", scratch(spark, "windows"), "complete")
+    session = stateful.replay_session(spark, f"{sf_dir}/events.parquet")
+    made = stateful.window_counts(stateful.replay(session, f"{sf_dir}/events.parquet"), "5 minutes", ["event_type"])
+    rows = stateful.drained(spark, made, scratch(spark, "windows"), "complete")
     return rows.select(F.unix_micros("window.start").alias("start"), "event_type", "n")
 
 
@@ -492,7 +506,8 @@ def heartbeats(spark, sf_dir):
     """The newest status per key, upserted by micro-batch."""
     base = load(spark, sf_dir, "events")
     log = ChangeLog(spark, scratch(spark, "beats"), base.select("event_type").schema)
-    rows = stateful.replay(spark, f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    session = stateful.replay_session(spark, f"{sf_dir}/events.parquet")
+    rows = stateful.replay(session, f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
 
     def batch(newest: DataFrame, _: int) -> None:
         log.put(newest.withColumnRenamed("user_id", "_row_id"))

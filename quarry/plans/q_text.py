@@ -123,7 +123,7 @@ register(
 # Numbers, levels, durations, times.
 LEVEL_SQL = """SELECT event_id, level, total - spent AS rest FROM (
     SELECT event_id, total, max(n) AS level, max(spent) AS spent FROM (SELECT event_id, event_id * 37 AS total FROM events)
-    JOIN (SELECT n, sum(5 * n * n + 50 * n + 100) FILTER (n > 0) OVER (ORDER BY n) AS s, coalesce(s, 0)::BIGINT AS spent FROM range(0, 300) r(n)) ON spent <= total GROUP BY ALL)"""
+    JOIN (SELECT n, sum(5 * n * n + 50 * n + 100) FILTER (n > 0) OVER (ORDER BY n) AS s, coalesce(s, 0)::BIGINT AS spent FROM range(0, (SELECT 2 + cbrt(max(event_id) * 37 * 3 / 5.0)::BIGINT FROM events)) r(n)) ON spent <= total GROUP BY ALL)"""
 
 
 def _two_sql(x: str) -> str:

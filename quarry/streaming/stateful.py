@@ -1,7 +1,7 @@
 """Streaming forms of the recurrences and counters. State is event-time and is dropped once it is as new.
 
 ``stateful`` runs the same classes as the batch operators over a stream; within a micro-batch a
-key's events are put in order of time. With a watermark, a key whose state has been idle for the
+key's events are put in order of time (a key's events of one micro-batch meet in one task, so the trigger's size bounds them). With a watermark, a key whose state has been idle for the
 class's gap loses it by an event-time timeout.
 """
 
@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import pickle
 import sys
+from collections import deque
 from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,10 +29,12 @@ class Trailing:
     fields = "recent long"
 
     def __init__(self, seconds: float):
-        self.seconds, self.times = seconds, []
+        self.seconds, self.times = seconds, deque()
 
     def step(self, t: float) -> tuple:
-        self.times = [x for x in self.times if x > t - self.seconds] + [t]
+        while self.times and self.times[0] <= t - self.seconds:
+            self.times.popleft()
+        self.times.append(t)
         return (len(self.times),)
 
     def gap(self) -> float:
@@ -129,17 +132,36 @@ def replay(spark, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream of the data at hand gives, as a table in memory (for tests and small replays)."""
-    spark = stream.sparkSession
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(8, int(partitions))))  # a state store each
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    return spark.table(name)
+#: Bytes of a table that one state store takes, when a table at hand is replayed.
+STATE_BYTES = 32 << 20
+
+
+def replay_session(spark: SparkSession, path: str) -> SparkSession:
+    """A session beside the caller's, whose shuffle partitions (a state store each, as long as the stream lives) fit the table's
+    size: 8 at least, and no more than the caller's."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    out = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, -(-size // STATE_BYTES)))
+    out.conf.set("spark.sql.shuffle.partitions", str(stores))
+    return out
+
+
+def drained(spark: SparkSession, stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """All that a stream of the data at hand gives, as a Parquet table of the caller's session in a new folder; its checkpoint lies beside it."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    last: list[str] = []
+
+    def replace(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        last[:] = [f"{path}/batch={batch}"]
+
+    writer.foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing, numbers, text
-from quarry.operators import detect, fanout, folds, placement
+from quarry.operators import detect, fanout, folds, pieces, placement
 from quarry.plans import catalogue
 from quarry.streaming import stateful
 
@@ -77,7 +77,7 @@ def test_stream_equals_loop(spark, tmp_path, case, watermark):
         events.filter((F.col("event_id") >= 50 * k) & (F.col("event_id") < 50 * k + 50)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     fields = folds.names(make.func.fields)
     stream = stateful.stateful(stateful.replay(spark, f"{tmp_path}/in"), ["guild"], make, values, watermark=watermark)
-    got = stateful.drained(stream, f"s{case}{bool(watermark)}", f"file://{tmp_path}/check").collect()
+    got = stateful.drained(spark, stream, f"file://{tmp_path}/check").collect()
     want = loop(rows[:200], make, values)
     assert len(got) == 200 and all(close(tuple(r[f] for f in fields), want[r.event_id]) for r in got)
 
@@ -86,9 +86,9 @@ def test_window_and_session_streams(spark, tmp_path):
     events, rows = make_events(spark, 200)
     events.write.parquet(f"{tmp_path}/in")
     windows = stateful.window_counts(stateful.replay(spark, f"{tmp_path}/in"), "1 minute", ["guild"])
-    assert sum(r.n for r in stateful.drained(windows, "w1", f"file://{tmp_path}/c1", "complete").collect()) == 200
+    assert sum(r.n for r in stateful.drained(spark, windows, f"file://{tmp_path}/c1", "complete").collect()) == 200
     sessions = stateful.session_counts(stateful.replay(spark, f"{tmp_path}/in"), "30 seconds", ["guild"], late="0 seconds")
-    closed = stateful.drained(sessions, "w2", f"file://{tmp_path}/c2")
+    closed = stateful.drained(spark, sessions, f"file://{tmp_path}/c2")
     assert 0 < closed.count() and closed.agg(F.sum("n")).first()[0] <= 200
 
 
@@ -101,6 +101,29 @@ def test_trailing_count_over_pieces(spark):
             assert got[i] == sum(g == h and t - 5 < u <= t for _, h, u, _ in rows)
 
 
+@pytest.mark.parametrize("split", [1, 7, 100000])
+def test_running_values_over_pieces(spark, split):
+    """Numbers, the row before, points, absence and levels agree with loops, however a key's time is cut; null keys are a key."""
+    events, rows = make_events(spark, 300)
+    events = events.withColumns({"change": F.col("event_id") % 5 - 2, "mark": F.col("event_id") % 3 == 0, "gained": F.col("event_id") * 40, "guild": F.when(F.col("guild") != 2, F.col("guild"))})
+    order = sorted((t, i, g if g != 2 else None) for i, g, t, _ in rows)
+    folded = {n: {} for n in ("points", "away", "levels")}
+    states, number, last = {}, {}, {}
+    want_number, want_last = {}, {}
+    for t, i, g in order:
+        p, a, l = states.setdefault(g, (folds.Points(), folds.Away(), folds.Levels(4)))  # noqa: E741
+        folded["points"][i], folded["away"][i], folded["levels"][i] = p.step(t, i % 5 - 2), a.step(t, i % 3 == 0), l.step(t, i * 40)
+        number[g] = number.get(g, 0) + 1
+        want_number[i], want_last[i] = number[g], last.get(g)
+        last[g] = i
+    assert {r.event_id: r.number for r in pieces.numbered(events, ["guild"], split=split).collect()} == want_number
+    assert {r.event_id: r._previous and r._previous.event_id for r in pieces.previous(events, ["guild"], ["event_id"], split=split).collect()} == want_last
+    assert {r.event_id: (r.points,) for r in pieces.points(events, ["guild"], "change", split=split).collect()} == folded["points"]
+    got = {r.event_id: (r.away, r.returned, r.away_seconds) for r in pieces.away(events, ["guild"], "mark", split=split).collect()}
+    assert all(close(got[i], w) for i, w in folded["away"].items())
+    assert {r.event_id: (r.counted, r.level, r.xp, r.total_xp) for r in pieces.levels(events, ["guild"], "gained", 4, split=split).collect()} == folded["levels"]
+
+
 def test_ring():
     ring = placement.Ring({"a": 1, "b": 2, "c": 0.5})
     owners = {i: ring.owners(i)[0] for i in range(3000)}
