@@ -172,11 +172,12 @@ def taken_words(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken."""
     rows, slots = mixture(docs, block=block, **how)
     rows = written(rows, "streams")
+    # Catalyst takes the slots for as few as their shards; they are no side to broadcast
     times = slots.groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
     full = rows.filter("size > 0")
     parts = (
         full.select("source_no", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block_no"))
-        .join(times, ["source_no", "block_no"])
+        .join(times.hint("merge"), ["source_no", "block_no"])
         .withColumn(
             "words",
             F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block),
@@ -201,7 +202,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
         .groupBy("source_no", "block_no")
         .agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("start", "doc_id", "first", "words"))).alias("parts"))
     )
-    return slots.join(parts, ["source_no", "block_no"]).select("shard", "slot", "source", "block_no", "parts")
+    return slots.hint("merge").join(parts, ["source_no", "block_no"]).select("shard", "slot", "source", "block_no", "parts")
 
 
 ship(__name__)
