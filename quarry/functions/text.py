@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +26,13 @@ HEX_COLOR = r"^#?([A-Fa-f0-9]{6}|[A-Fa-f0-9]{3})$"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 IMAGE_ENDS = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp")
 MARKDOWN = r"[*_`~|>#\-+=\[\]()!]"
-#: Tokens of obfuscated spelling and their letters, the longest first.
+# Tokens of obfuscated spelling with the letters that they stand for, in the order in which they are replaced
+# (the longest first, as shorter ones are parts of them), and Greek letters with the Latin ones that they look like.
 LEET = [
     (r"|\/|", "m"), ("|_|", "u"), ("|\\|", "n"), ("/\\", "a"), ("\\/", "v"),
     ("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("6", "g"), ("7", "t"), ("8", "b"), ("9", "g"),
     ("@", "a"), ("$", "s"), ("!", "i"), ("+", "t"), ("|", "l"), ("(", "c"), (")", "d"),
 ]
-#: Greek letters that look like Latin ones; NFKC has dealt with full-width and mathematical ones before.
 LOOK_ALIKE = ("αβεηικμνορστυχψ", "abenikmnorstuxy")
 
 
@@ -264,10 +264,15 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def is_ascii(text) -> Column:
+    return _text(text).rlike(r"^\p{ASCII}*$")
+
+
 def look_alikes(text) -> Column:
-    """NFKC, which needs Python only for texts beyond ASCII, then Greek look-alikes."""
+    """NFKC, then Greek look-alikes; ASCII texts stay as they are. Within one projection Python gets a null for
+    an ASCII text, as a batch function is called for every row; ``with_normalised`` keeps such rows away from it."""
     text = _text(text)
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(F.translate(_nfkc(text), *LOOK_ALIKE))
+    return F.when(is_ascii(text), text).otherwise(F.translate(_nfkc(F.when(~is_ascii(text), text)), *LOOK_ALIKE))
 
 
 def decode_leet(text) -> Column:
@@ -286,6 +291,13 @@ def normalised(text, kinds: tuple[str, ...] = ("zalgo", "spacing", "unicode", "l
     return out
 
 
+def with_normalised(rows: DataFrame, text: str, out: str = "normalised") -> DataFrame:
+    """rows with the text normalised by all kinds; only rows beyond ASCII visit Python, the others are read apart. Rows of no text stay null."""
+    plain = F.coalesce(is_ascii(text), F.lit(True))
+    steps = ("zalgo", "spacing", "leet")
+    return rows.filter(plain).withColumn(out, normalised(text, steps)).unionByName(rows.filter(~plain).withColumn(out, normalised(text)))
+
+
 def rule_pattern(pattern: str, kind: str, case_sensitive: bool = False) -> str:
     """A rule's regular expression: regex, exact (whole text), wildcard (* and ?), contains, fuzzy (as contains)."""
     kind = kind.lower()

@@ -1,19 +1,20 @@
 """Consistent-hash placement: a weighted ring of virtual nodes, owners, replicas and how evenly ids fall.
 
 The ring is a configuration (150 points a node); it travels with the function that looks owners up
-by binary search, so ids are neither joined nor shuffled.
+by binary search, a batch at a time, so ids are neither joined nor shuffled, and each id is hashed once.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.hashing import guild_hash, vnode_hash
+from quarry.functions.hashing import guild_hash, guild_hash_column, vnode_hash
 
 VNODES = 150
 
@@ -55,26 +56,52 @@ class Ring:
                     break
         return out
 
+    def walks(self, n: int) -> tuple[np.ndarray, list[list[str]]]:
+        """The sorted places of the points, and from each the first n different nodes; the last walk is for places after all points."""
+        names = [node for _, node in self.points]
+        out: list[list[str]] = []
+        for at in range(len(names)):
+            found: list[str] = []
+            for k in range(len(names)):
+                node = names[(at + k) % len(names)]
+                if node not in found:
+                    found.append(node)
+                    if len(found) == n:
+                        break
+            out.append(found)
+        return np.array([h for h, _ in self.points], "U32"), out + out[:1]
+
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.points, "hash string, node string")
 
 
-def owner(ids: Column, ring: Ring) -> Column:
-    @F.pandas_udf(T.StringType())
+def nodes_at(places: Column, ring: Ring, n: int = 1) -> Column:
+    """The first n different nodes from each place (32 hex digits) on, around the ring: the as-of lookup."""
+    points, walks = ring.walks(n)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def found(values: pd.Series) -> pd.Series:
-        return values.map(lambda i: (ring.owners(int(i)) or [None])[0], na_action="ignore")
+        if not walks:
+            return values.map(lambda _: [], na_action="ignore")
+        at = np.searchsorted(points, values.fillna("").to_numpy("U32"), "left")
+        return pd.Series([None if v is None else walks[k] for k, v in zip(at, values, strict=True)], dtype=object, index=values.index)
 
-    return found(ids)
+    return found(places)
 
 
-def replicas(ids: Column, ring: Ring, count: int = 2) -> Column:
-    """The nodes after the owner."""
+def placed(ids: Column, ring: Ring, n: int = 1) -> Column:
+    """The first n different nodes from each id's place on: its owner, then its replicas."""
+    return nodes_at(guild_hash_column(ids), ring, n)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def found(values: pd.Series) -> pd.Series:
-        return values.map(lambda i: ring.owners(int(i), count + 1)[1:], na_action="ignore")
 
-    return found(ids)
+def owner(ids: Column, ring: Ring) -> Column:
+    return F.get(placed(ids, ring), 0)
+
+
+def replicas(ids: Column, ring: Ring, count: int = 2) -> Column:
+    """The nodes after the owner."""
+    nodes = placed(ids, ring, count + 1)
+    return F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0)))
 
 
 def bucket(ids: Column, buckets: int) -> Column:

@@ -92,12 +92,15 @@ def join_rules(spark, sf_dir):
     return detect.apply_rules(load(spark, sf_dir, "documents"), rules).select("doc_id", "rule")
 
 
-@register("join_rules_bypass")
+@register(
+    "join_rules_bypass",
+    f"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)password') OR regexp_matches({q_text.NORMAL_SQL}, '(?i)password') THEN 'b1' WHEN contains(lower(text), 'theon') OR contains(lower({q_text.NORMAL_SQL}), 'theon') THEN 'b2' END AS rule FROM documents",
+)
 def join_rules_bypass(spark, sf_dir):
-    """Rules against evasive spelling need NFKC, which SQL lacks."""
-    rules = [{"id": "b1", "pattern": "hello", "kind": "contains", "bypass": ["spacing", "leet", "unicode", "zalgo"]}]
-    rows = spark.createDataFrame([(1, "h3ll0"), (2, "ｈｅｌｌｏ"), (3, "h e l l o"), (4, "goodbye"), (5, "héllo")], "id int, text string")
-    return detect.apply_rules(rows, rules).select("id", "rule")
+    """Rules against evasive spelling."""
+    every = ["spacing", "leet", "unicode", "zalgo"]
+    rules = [{"id": "b1", "pattern": "password", "kind": "regex", "bypass": every}, {"id": "b2", "pattern": "theon", "kind": "contains", "bypass": every}]
+    return detect.apply_rules(load(spark, sf_dir, "documents"), rules).select("doc_id", "rule")
 
 
 @register("dom_command_lists", "SELECT event_id, (user_id NOT IN (3, 5) AND event_type <> 'error' AND guild_id IN (0, 1, 2)) AS allowed FROM " + EVENTS)
@@ -236,9 +239,23 @@ for _name, _keys, _make, _values, _sql in [
 RING = placement.Ring({"node-a": 1.0, "node-b": 2.0, "node-c": 0.5})
 
 
+_POINTS = ", ".join(f"('{h}', '{n}')" for h, n in RING.points)
+
+
+@register(
+    "join_asof_places",
+    f"WITH ring(hash, node) AS (VALUES {_POINTS}) SELECT event_id, coalesce(node, (SELECT min_by(node, hash) FROM ring)) AS node FROM (SELECT event_id, md5(event_id::VARCHAR) AS place FROM events) e ASOF LEFT JOIN ring r ON e.place <= r.hash",
+)
+def nodes_of_places(spark, sf_dir):
+    """The as-of lookup itself, of places that SQL can make too: the next point of the ring, around its end."""
+    return load(spark, sf_dir, "events").select("event_id", F.get(placement.nodes_at(F.md5(F.col("event_id").cast("string")), RING), 0).alias("node"))
+
+
 @register("join_asof_ring")
 def owners(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", placement.owner(F.col("event_id"), RING).alias("node"), placement.replicas(F.col("event_id"), RING).alias("replicas"))
+    """Owners and replicas by the ids' own places, whose BLAKE2b SQL lacks."""
+    nodes = load(spark, sf_dir, "events").select("event_id", placement.placed(F.col("event_id"), RING, 3).alias("nodes"))
+    return nodes.select("event_id", F.get("nodes", 0).alias("node"), F.slice("nodes", 2, 2).alias("replicas"))
 
 
 @register("met_ring_distribution")

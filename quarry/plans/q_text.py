@@ -87,21 +87,38 @@ for _name, _column, _sql in [
 ]:
     _sample(_name, _column, _sql)
 
-_LEET = "t"
-for _token, _letter in X.LEET:
-    _LEET = f"replace({_LEET}, '{_token}', '{_letter}')"
-_sample("txt_leet", lambda: X.decode_leet("t"), _LEET)
 
 
-@register("txt_normalised")
+def _leet_sql(t: str) -> str:
+    for token, letter in X.LEET:
+        t = f"replace({t}, '{token}', '{letter}')"
+    return t
+
+
+_sample("txt_leet", lambda: X.decode_leet("t"), _leet_sql("t"))
+_SPACED = "regexp_replace(regexp_replace(regexp_replace(text, '\\p{Mn}', '', 'g'), '\\s+', ' ', 'g'), '([\\pL\\pM\\pN_])\\s+([\\pL\\pM\\pN_])', '\\1\\2', 'g')"
+#: Normalised texts without compatibility characters, as those of the tables are: there NFC is NFKC.
+NORMAL_SQL = _leet_sql(f"translate(nfc_normalize({_SPACED}), '{X.LOOK_ALIKE[0]}', '{X.LOOK_ALIKE[1]}')")
+
+
+@register("txt_normalised", f"SELECT doc_id, md5({NORMAL_SQL}) AS normalised FROM documents")
 def normalised(spark, sf_dir):
     """All four steps against evasion, over whole documents; only texts beyond ASCII visit Python."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalised("text")).alias("normalised"))
+    rows = X.with_normalised(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.md5("normalised").alias("normalised"))
 
 
-@register("txt_spam_reason")
+_T = lambda sql: sql.replace("(t,", "(text,").replace("(t)", "(text)")
+
+
+@register(
+    "txt_spam_reason",
+    f"SELECT conv_id, turn, CASE WHEN length(text) > 2000 THEN 'Message too long' WHEN {_T(CAPS)} THEN 'Excessive caps' WHEN ({_T(COUNT_EMOJI)}) > 10 THEN 'Too many emojis' WHEN {_T(MASS)} THEN 'Mass mentions' "
+    "WHEN EXISTS (SELECT 1 FROM range(1, length(text)) a(i), range(3, length(text) // 6 + 1) b(n) WHERE i + 6 * n - 1 <= length(text) AND substring(text, i, 5 * n) = substring(text, i + n, 5 * n) "
+    f"AND NOT regexp_matches(substring(text, i, n), '[\n\r]')) THEN 'Repeating pattern' WHEN {_T(REPETITIVE)} THEN 'Repetitive words' END AS reason FROM conversations",
+)
 def spam(spark, sf_dir):
-    """The first reason in order, back reference included, which the other engine lacks."""
+    """The first reason in order; SQL compares shifted parts of the text for the back reference."""
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", X.spam_reason("text").alias("reason"))
 
 
@@ -181,9 +198,26 @@ def progress_bar(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", N.progress_bar((F.col("event_id") % 101).cast("double")).alias("bar"))
 
 
-@register("hsh_whiten")
+def _mix_sql(x: str) -> str:
+    """The finalizer in 128-bit arithmetic."""
+    for m in H.MULTIPLIERS:
+        x = f"(((xor({x}, ({x}) >> 33))::UHUGEINT * {m}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"xor({x}, ({x}) >> 33)"
+
+
+@register(
+    "hsh_whiten",
+    "SELECT event_id, (" + _mix_sql("x") + ")::DECIMAL(20, 0) AS whitened FROM (SELECT event_id, xor(h, ((l << 17) % 4294967296) | (l >> 15)) * 4294967296 + xor(l, ((h << 13) % 4294967296) | (h >> 19)) AS x "
+    "FROM (SELECT event_id, (id >> 32)::UBIGINT AS h, (id % 4294967296)::UBIGINT AS l FROM (SELECT event_id, (event_id * 4398046511111)::UBIGINT AS id FROM events)))",
+)
 def whitened(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", H.whiten_column("event_id").alias("whitened"), H.guild_hash_column("event_id").alias("place"))
+    return load(spark, sf_dir, "events").select("event_id", H.whiten_column(F.col("event_id") * 4398046511111).alias("whitened"))
+
+
+@register("hsh_place")
+def places(spark, sf_dir):
+    """BLAKE2b of whitened ids, which SQL lacks."""
+    return load(spark, sf_dir, "events").select("event_id", H.guild_hash_column("event_id").alias("place"))
 
 
 @register("hsh_random_id")
