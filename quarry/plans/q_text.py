@@ -25,15 +25,17 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-SAMPLE_SQL = "(VALUES " + ", ".join(f"({i}, {_literal(t)})" for i, t in enumerate(SAMPLES)) + ") AS s(id, t)"
+#: The samples and all documents, whose ids come after.
+SAMPLE_SQL = "(SELECT id::BIGINT AS id, t FROM (VALUES " + ", ".join(f"({i}, {_literal(t)})" for i, t in enumerate(SAMPLES)) + ") AS v(id, t) UNION ALL SELECT doc_id + 100, text FROM documents) AS s"
 
 
-def samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SAMPLES)), "id int, t string")
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), F.col("text").alias("t"))
+    return spark.createDataFrame(list(enumerate(SAMPLES)), "id long, t string").unionByName(documents)
 
 
 def _sample(name: str, column, sql: str) -> None:
-    register(name, f"SELECT id, {sql} AS v FROM {SAMPLE_SQL}")(lambda spark, sf_dir: samples(spark).select("id", column().alias("v")))
+    register(name, f"SELECT id, {sql} AS v FROM {SAMPLE_SQL}")(lambda spark, sf_dir: samples(spark, sf_dir).select("id", column().alias("v")))
 
 
 RE_INVITE = "(?i)(?:https?://)?(?:www\\.)?(?:discord\\.(?:gg|io|me|li)|discordapp\\.com/invite|discord\\.com/invite)/([a-zA-Z0-9\\-]+)"
@@ -184,13 +186,24 @@ register("lvl_from_xp", LEVEL_SQL.replace("SELECT event_id, level,", "SELECT eve
     lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", N.level_of(F.col("event_id") * 37).alias("l")).select("event_id", "l.level", "l.rest")
 )
 
-DURATIONS = ["10s", "5m", "2h 30m", "1d12h", "1w", "1mo", "90", "abc", "", "1mo 5m", "3 hours", "-5", "45 min 10 sec"]
-DURATION_SECONDS = [10, 300, 9000, 129600, 604800, 2592000, 90, None, None, 2592300, 10800, -5, 2710]
+_SPELLINGS = [(name, seconds) for names, seconds in N.UNITS.items() for name in names.split()]
+_SECONDS = f"[{', '.join(str(n) for _, n in _SPELLINGS)}]"
 
 
-@register("dat_parse_duration", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if s is None else s}::BIGINT)" for t, s in zip(DURATIONS, DURATION_SECONDS, strict=True)) + ") AS d(t, seconds)")
+@register(
+    "dat_parse_duration",
+    f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN (event_id % 90)::BIGINT WHEN 1 THEN NULL ELSE nullif(k * u, 0) + CASE WHEN event_id % 5 = 2 AND u <> 604800 THEN 604800 * 2 ELSE 0 END END::BIGINT AS seconds "
+    f"FROM (SELECT event_id, event_id % 40 + 1 AS k, {_SECONDS}[event_id % {len(_SPELLINGS)} + 1] AS u FROM events)",
+)
 def parse_duration(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in DURATIONS], "t string").select("t", N.parse_duration(F.col("t")).alias("seconds"))
+    """Every spelling with numbers, alone or beside weeks, bare numbers and texts that are no duration."""
+    unit = F.get(F.array(*[F.lit(n) for n, _ in _SPELLINGS]), (F.col("event_id") % len(_SPELLINGS)).cast("int"))
+    k, kind = F.concat((F.col("event_id") % 40 + 1).cast("string"), F.when(F.col("event_id") % 2 == 0, " ").otherwise(""), F.when(F.col("event_id") % 3 == 0, F.upper(unit)).otherwise(unit)), F.col("event_id") % 5
+    text = (
+        F.when(kind == 0, (F.col("event_id") % 90).cast("string")).when(kind == 1, F.concat(F.lit("soon"), unit))
+        .when((kind == 2) & ~unit.startswith("w"), F.concat(k, F.lit(" 2w"))).otherwise(k)
+    )
+    return load(spark, sf_dir, "events").select("event_id", N.parse_duration(text).alias("seconds"))
 
 
 @register("lvl_progress", "SELECT event_id, '`[' || repeat('█', (event_id % 101) // 10) || repeat('░', 10 - (event_id % 101) // 10) || ']` ' || printf('%.1f', (event_id % 101)::DOUBLE) || '%' AS bar FROM events")
