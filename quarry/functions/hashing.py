@@ -40,16 +40,29 @@ def vnode_hash(node: str, index: int) -> str:
     return hashlib.blake2b(f"{node}:vnode:{index}".encode(), digest_size=16).hexdigest()
 
 
+# Ids come as texts, as a batch of longs with a null would come as doubles, which lack digits.
 @F.pandas_udf(T.StringType())
-def guild_hash_column(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda i: guild_hash(int(i)), na_action="ignore")
+def _guild_hashes(ids: pd.Series) -> pd.Series:
+    return pd.Series([None if i is None else guild_hash(int(i)) for i in ids], dtype=object)
 
 
 @F.pandas_udf(T.DecimalType(20, 0))
-def whiten_column(ids: pd.Series) -> pd.Series:
+def _whitened(ids: pd.Series) -> pd.Series:
     from decimal import Decimal
 
-    return ids.map(lambda i: Decimal(whiten(int(i) & MASK)), na_action="ignore")
+    return pd.Series([None if i is None else Decimal(whiten(int(i) & MASK)) for i in ids], dtype=object)
+
+
+def _id(ids) -> Column:
+    return (F.col(ids) if isinstance(ids, str) else ids).cast("string")
+
+
+def guild_hash_column(ids) -> Column:
+    return _guild_hashes(_id(ids))
+
+
+def whiten_column(ids) -> Column:
+    return _whitened(_id(ids))
 
 
 def short_hash(text: Column, length: int = 16) -> Column:

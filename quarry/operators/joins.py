@@ -54,6 +54,19 @@ def may_use(user: Column, channel: Column, roles: Column, black: dict[str, list]
     return ok
 
 
+def cases_with_users(cases: DataFrame, users: DataFrame) -> DataFrame:
+    """Cases with the record of their target in the same guild, null where there is none; newest cases have the greatest case_id."""
+    known = users.select(F.col("guild_id").alias("_g"), F.col("user_id").alias("_u"), F.col("data").alias("user"))
+    return cases.join(known, (F.col("guild_id") == F.col("_g")) & (F.col("target_id") == F.col("_u")), "left").drop("_g", "_u")
+
+
+def tickets_with_creators(tickets: DataFrame, users: DataFrame, open_states: list[str]) -> DataFrame:
+    """Open tickets with the record of their creator in the same guild, null where there is none."""
+    known = users.select(F.col("guild_id").alias("_g"), F.col("user_id").alias("_u"), F.col("data").alias("creator"))
+    found = tickets.filter(F.col("status").isin(open_states))
+    return found.join(known, (F.col("guild_id") == F.col("_g")) & (F.col("creator_id") == F.col("_u")), "left").drop("_g", "_u")
+
+
 def with_names(board: DataFrame, members: DataFrame, user: str, name: str) -> DataFrame:
     """Entries with the member's name, User#id where there is none."""
     joined = board.join(members.select(user, name), user, "left")

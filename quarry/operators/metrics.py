@@ -31,6 +31,19 @@ def latency(times: DataFrame, ms: str, keys: list[str] = ()) -> DataFrame:
     )
 
 
+def member_totals(members: DataFrame, guild: str = "guild_id") -> DataFrame:
+    """Members, humans, bots and who is not offline, by guild. members: is_bot, status."""
+    bot = F.coalesce(F.col("is_bot"), F.lit(False))
+    return members.groupBy(guild).agg(
+        F.count("*").alias("members"), F.count_if(~bot).alias("humans"), F.count_if(bot).alias("bots"), F.count_if(F.coalesce(F.col("status"), F.lit("offline")) != "offline").alias("online")
+    )
+
+
+def bot_totals(guilds: DataFrame) -> DataFrame:
+    """Guilds, members and channels over all guilds; a guild without a count adds nothing."""
+    return guilds.agg(F.count("*").alias("guilds"), F.coalesce(F.sum("member_count"), F.lit(0)).alias("members"), F.coalesce(F.sum("channel_count"), F.lit(0)).alias("channels"))
+
+
 def user_statistics(events: DataFrame, user: str = "user_id") -> DataFrame:
     """Conditional counts per user and the last time seen."""
     kinds = ("click", "view", "purchase", "error", "signup")

@@ -109,10 +109,10 @@ def bucket(ids: Column, buckets: int) -> Column:
     size = ((1 << 128) - 1) // buckets
 
     @F.pandas_udf(T.IntegerType())
-    def found(values: pd.Series) -> pd.Series:
-        return values.map(lambda i: min(int(guild_hash(int(i)), 16) // size, buckets - 1), na_action="ignore").astype("Int32")
+    def found(places: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else min(int(p, 16) // size, buckets - 1) for p in places], dtype="Int32")
 
-    return found(ids)
+    return found(guild_hash_column(ids))
 
 
 def spread(placed: DataFrame, column: str, buckets: int) -> DataFrame:

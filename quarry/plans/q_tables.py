@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
+import json
+from datetime import datetime
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import documents as D
-from quarry.operators import detect, domain, folds
+from quarry.functions import numbers
+from quarry.operators import detect, domain, folds, joins, metrics
 from quarry.sources import api, crypto
 from quarry.sources.database import Database, recover
 from quarry.sources.schema import Column
@@ -357,6 +359,96 @@ def service_board(spark, sf_dir):
     return service.leaderboard(2).select("user_id", "total_xp")
 
 
+@register(
+    "dom_configs",
+    "SELECT n_nationkey AS guild_id, CASE WHEN n_regionkey = 2 THEN 2 ELSE 1 END::BIGINT AS rules, CASE WHEN n_regionkey = 2 THEN 'p' || n_name ELSE 'default' END AS first_pattern, n_regionkey <> 3 AS logs FROM nation WHERE n_nationkey < 8",
+)
+def configs(spark, sf_dir):
+    """Filter and log documents of guilds saved, changed for a region, and read back."""
+    service, now = Service(Database(spark, scratch(spark, "service"))), datetime(2024, 1, 1)
+    default = {"rules": [{"id": "d", "pattern": "default"}]}
+    first = load(spark, sf_dir, "nation").filter("n_nationkey < 8")
+    changed = F.col("n_regionkey") == 2
+    data = F.when(changed, F.concat(F.lit('{"rules": [{"id": "a", "pattern": "p'), "n_name", F.lit('"}, {"id": "b", "pattern": "x"}]}'))).otherwise(F.lit(json.dumps(default)))
+    service.save_all("filter_configs", first.select(F.col("n_nationkey").cast("long").alias("guild_id"), F.lit(now).alias("updated_at"), data.alias("data")))
+    service.save_log_config(0, {"enabled": False}, now)
+    logs = first.select(F.col("n_nationkey").cast("long").alias("guild_id"), (F.col("n_regionkey") != 3).alias("enabled"), F.lit(now).alias("updated_at"))
+    service.save_all("log_configs", logs)
+    rules = F.from_json("data", "rules array<struct<id:string,pattern:string>>")["rules"]
+    kept = service.db.table("filter_configs").select("guild_id", F.size(rules).cast("long").alias("rules"), F.get(rules, 0)["pattern"].alias("first_pattern"))
+    return kept.join(service.db.table("log_configs").select("guild_id", F.col("enabled").alias("logs")), "guild_id").withColumn("guild_id", F.col("guild_id").cast("int"))
+
+
+@register("dom_nicknames", "SELECT 7::BIGINT AS user_id, 'nick of 7' AS nickname")
+def nicknames(spark, sf_dir):
+    """Secret users saved, renamed and deleted; one found by nickname."""
+    service, now = Service(Database(spark, scratch(spark, "service"))), datetime(2024, 1, 1)
+    users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("old").alias("nickname"), F.lit(now).alias("created_at"))
+    service.save_all("secret_users", users)
+    service.save_all("secret_users", users.withColumn("nickname", F.concat(F.lit("nick of "), F.col("user_id").cast("string"))))
+    service.delete_secret_user(8)
+    found = service.secret_user_by_nickname("nick of 7")
+    gone = service.secret_user(8)
+    return spark.createDataFrame([(found["user_id"], found["nickname"])] if gone is None else [], "user_id long, nickname string")
+
+
+@register("join_case_users", "SELECT o_orderkey AS case_id, c_name AS user FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey % 3 = o_custkey % 3")
+def case_users(spark, sf_dir):
+    cases = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") % 3).alias("guild_id"), F.col("o_custkey").alias("target_id"))
+    users = load(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("guild_id"), F.col("c_custkey").alias("user_id"), F.col("c_name").alias("data"))
+    return joins.cases_with_users(cases, users).select("case_id", "user")
+
+
+@register(
+    "join_ticket_creators",
+    "SELECT o_orderkey AS ticket_id, c_name AS creator FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey % 3 = o_custkey % 3 WHERE o_orderstatus IN ('O', 'P')",
+)
+def ticket_creators(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ticket_id"), (F.col("o_custkey") % 3).alias("guild_id"), F.col("o_custkey").alias("creator_id"), F.col("o_orderstatus").alias("status"))
+    users = load(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("guild_id"), F.col("c_custkey").alias("user_id"), F.col("c_name").alias("data"))
+    return joins.tickets_with_creators(rows, users, ["O", "P"]).select("ticket_id", "creator")
+
+
+@register(
+    "met_members",
+    "SELECT c_nationkey AS guild_id, count(*) AS members, count(*) FILTER (c_custkey % 4 <> 0) AS humans, count(*) FILTER (c_custkey % 4 = 0) AS bots, count(*) FILTER (c_mktsegment <> 'BUILDING') AS online FROM customer GROUP BY 1",
+)
+def members(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("guild_id"), (F.col("c_custkey") % 4 == 0).alias("is_bot"), F.when(F.col("c_mktsegment") == "BUILDING", "offline").otherwise("idle").alias("status"))
+    return metrics.member_totals(rows)
+
+
+@register("met_bot", "SELECT count(*) AS guilds, sum(s_suppkey)::BIGINT AS members, sum(s_nationkey)::BIGINT AS channels FROM supplier")
+def bot(spark, sf_dir):
+    return metrics.bot_totals(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member_count"), F.col("s_nationkey").alias("channel_count")))
+
+
+@register("dat_dead", "SELECT event_id, epoch_us(TIMESTAMP '2024-01-15') - epoch_us(ts) > 15000000 AS dead FROM events")
+def dead_nodes(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", numbers.dead(F.col("ts"), F.lit("2024-01-15").cast("timestamp")).alias("dead"))
+
+
+@register(
+    "jsn_models",
+    "SELECT event_id, 'open' AS status, (json_extract_string(props, '$.k'))::INTEGER AS priority, event_id AS guild_id, 0 AS n_tags, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 10 END AS joins, 0.7 AS caps, 'No reason provided' AS reason, event_type AS action, "
+    "true AS same FROM events",
+)
+def models(spark, sf_dir):
+    """Documents of three models from their JSON, with defaults, and back."""
+    rows = load(spark, sf_dir, "events")
+    ticket = D.decoded(F.format_string('{"guild_id": %d, "priority": %s, "unknown": 1}', "event_id", F.get_json_object("props", "$.k")), "ticket")
+    guild = D.decoded(F.when(F.col("event_id") % 2 == 0, '{"settings": {"anti_raid": {"join_threshold": 3}}}'), "guild")
+    case = D.decoded(F.to_json(F.struct(F.col("event_type").alias("action"))), "case")
+    rows = rows.select("event_id", ticket.alias("t"), guild.alias("g"), case.alias("c"))
+    same = F.lit(True)
+    for column, model in (("t", "ticket"), ("g", "guild"), ("c", "case")):
+        same = same & (F.to_json(D.decoded(D.encoded(F.col(column)), model)) == F.to_json(column))
+    return rows.select(
+        "event_id", "t.status", "t.priority", "t.guild_id", F.size("t.tags").alias("n_tags"), F.col("g.settings.anti_raid.join_threshold").alias("joins"),
+        F.col("g.settings.automod.caps_threshold").cast("decimal(2,1)").alias("caps"), "c.reason", "c.action", same.alias("same"),
+    )
+
+
 # Domain rules.
 @register(
     "dom_permissions",

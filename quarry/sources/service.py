@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime
 from typing import Any
@@ -23,7 +24,8 @@ TABLES = {
     "moderation_cases": "id* STRING, case_id+ INT32, guild_id+ INT64, target_id+ INT64, moderator_id+ INT64, action+ STRING, reason STRING, created_at TIMESTAMP, expires_at TIMESTAMP, "
     "duration_seconds INT64, is_active BOOL=true, revoked BOOL=false, data JSON={}",
     "filters": "id* STRING, guild_id+ INT64, filter_type+ STRING, pattern STRING, action STRING, enabled BOOL=true, created_at TIMESTAMP, data JSON={}",
-    "log_configs": "guild_id* INT64, enabled BOOL=true, channels JSON={}, events JSON={}, ignored JSON={}, updated_at TIMESTAMP",
+    "log_configs": "guild_id* INT64, enabled BOOL=true, channels JSON={}, events JSON={}, ignored JSON={}, updated_at TIMESTAMP, data JSON={}",
+    "filter_configs": "guild_id* INT64, updated_at TIMESTAMP, data JSON={}",
     "user_levels": "id* STRING, user_id+ INT64, guild_id+ INT64, xp INT32=0, level INT32=0, total_xp INT64=0, daily_messages INT32=0, last_xp_date STRING, last_message_time TIMESTAMP, updated_at TIMESTAMP",
     "secret_users": "user_id* INT64, nickname+ STRING, created_at TIMESTAMP, is_active BOOL=true",
     "secret_chats": "id* STRING, sender_id+ INT64, receiver_id+ INT64, created_at TIMESTAMP, expires_at TIMESTAMP",
@@ -121,7 +123,65 @@ class Service:
         }[event]
         return self.db.update("tickets", {**change, "updated_at": now}, {"ticket_id": ticket_id})
 
+    # Configurations of filters and logs: a document a guild.
+    def _document(self, table: str, guild_id: int) -> dict | None:
+        row = self.db.find_by_id(table, "guild_id", guild_id)
+        return row and json.loads(row["data"] or "{}")
+
+    def _save_document(self, table: str, guild_id: int, document: dict, row: dict[str, Any]) -> None:
+        row = {"guild_id": guild_id, "data": {**document, "guild_id": guild_id}, **row}
+        if not self.db.update(table, row, {"guild_id": guild_id}):
+            self.db.insert(table, row)
+
+    def filter_config(self, guild_id: int) -> dict | None:
+        return self._document("filter_configs", guild_id)
+
+    def save_filter_config(self, guild_id: int, config: dict, now: datetime) -> None:
+        """The guild's filter document, and a row of ``filters`` for each of its rules."""
+        self._save_document("filter_configs", guild_id, config, {"updated_at": now})
+        self.db.delete("filters", {"guild_id": guild_id})
+        rules = config.get("rules", [])
+        self.db.insert_many("filters", [
+            {"id": r["id"], "guild_id": guild_id, "filter_type": r.get("filter_type", "contains"), "pattern": r["pattern"], "action": r.get("action", "delete"), "enabled": r.get("enabled", True), "created_at": now, "data": r}
+            for r in rules
+        ])
+
+    def get_or_create_filter_config(self, guild_id: int, now: datetime) -> dict:
+        if self.filter_config(guild_id) is None:
+            self.save_filter_config(guild_id, {"rules": []}, now)
+        return self.filter_config(guild_id)
+
+    def filters(self, guild_id: int) -> DataFrame:
+        """The rules that are enabled."""
+        return self.db.select("filters", query().where_eq("guild_id", guild_id).where_eq("enabled", True).order_by("id"))
+
+    def log_config(self, guild_id: int) -> dict | None:
+        return self._document("log_configs", guild_id)
+
+    def save_log_config(self, guild_id: int, config: dict, now: datetime) -> None:
+        self._save_document("log_configs", guild_id, config, {
+            "enabled": config.get("enabled", True), "channels": config.get("channels", {}), "events": config.get("enabled_types", []), "updated_at": now,
+            "ignored": {k: v for k, v in config.items() if k.startswith("ignored_")},
+        })
+
+    def get_or_create_log_config(self, guild_id: int, now: datetime) -> dict:
+        if self.log_config(guild_id) is None:
+            self.save_log_config(guild_id, {}, now)
+        return self.log_config(guild_id)
+
     # Nicknames and chats.
+    def secret_user(self, user_id: int) -> dict | None:
+        return self.db.find_by_id("secret_users", "user_id", user_id)
+
+    def secret_user_by_nickname(self, nickname: str) -> dict | None:
+        return self.db.find_one("secret_users", {"nickname": nickname})
+
+    def save_secret_user(self, user_id: int, nickname: str, now: datetime) -> None:
+        self.save("secret_users", {"user_id": user_id, "nickname": nickname, "created_at": now, "is_active": True})
+
+    def delete_secret_user(self, user_id: int) -> int:
+        return self.db.delete("secret_users", {"user_id": user_id})
+
     def chat(self, a: int, b: int) -> dict | None:
         """In either direction."""
         return self.db.find_one("secret_chats", {"sender_id": a, "receiver_id": b}) or self.db.find_one("secret_chats", {"sender_id": b, "receiver_id": a})

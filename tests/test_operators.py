@@ -205,3 +205,34 @@ def test_entry_and_names(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_durations_by_spelling(spark):
+    rows = [(f"{n}{gap}{case(u)}", n * s) for us, s in numbers.UNITS.items() for u in us.split() for n in (1, 40) for gap in ("", " ") for case in (str, str.upper)]
+    rows += [("1mo 5m", 2592300), ("2h 30m", 9000), ("45 min 10 sec", 2710), ("1d12h", 129600), ("90", 90), ("-5", -5), ("abc", None), ("", None), ("0s", None), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want long").select("t", "want", numbers.parse_duration(F.col("t")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == rows
+
+
+def test_whitening_has_known_values():
+    """The finalizer's published value for 1, and 0 for 0; places are 32 hex digits that keep the order of numbers."""
+    assert hashing.mix64(0) == 0 and hashing.mix64(1) == 0xB456BCFC34C2CB2C
+    assert hashing.whiten(0) == 0 and len({hashing.whiten(i << 22) for i in range(5000)}) == 5000
+    import hashlib
+
+    assert hashing.guild_hash(0) == hashlib.blake2b(bytes(16), digest_size=16).hexdigest()
+    assert hashing.vnode_hash("a", 3) == hashlib.blake2b(b"a:vnode:3", digest_size=16).hexdigest()
+
+
+def test_places_by_plain_search(spark):
+    ring = placement.Ring({"a": 1.0, "b": 2.0, "c": 0.5})
+    ids = [*range(300), 2**62, -5]
+    rows = spark.createDataFrame([(i,) for i in [*ids, None]], "i long").select("i", placement.placed(F.col("i"), ring, 3).alias("n"), placement.owner(F.col("i"), ring).alias("o"), placement.replicas(F.col("i"), ring, 1).alias("r")).collect()
+    for r in rows[:-1]:
+        here = hashing.guild_hash(r.i)
+        after = sorted(ring.points, key=lambda p: (p[0] < here, p))
+        want = list(dict.fromkeys(node for _, node in after))
+        assert (r.n, r.o, r.r) == (want, want[0], want[1:2])
+    assert rows[-1].n is None and rows[-1].o is None
+    none = spark.range(2).select(placement.owner(F.col("id"), placement.Ring()).alias("o"))
+    assert [r.o for r in none.collect()] == [None, None]

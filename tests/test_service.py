@@ -77,3 +77,16 @@ def test_documents(spark):
 def test_crc_and_times(spark):
     r = spark.range(1).select(F.crc32(F.lit("abc").cast("binary")).alias("c"), numbers.snowflake_time(F.lit(175928847299117063)).cast("string").alias("t")).first()
     assert r.c == zlib.crc32(b"abc") and r.t.startswith("2016-04-30")
+
+
+def test_configurations_and_nicknames(service):
+    assert service.filter_config(1) is None and service.get_or_create_filter_config(1, NOW) == {"guild_id": 1, "rules": []}
+    service.save_filter_config(1, {"rules": [{"id": "a", "pattern": "x"}, {"id": "b", "pattern": "y", "enabled": False}]}, NOW)
+    assert [r.pattern for r in service.filters(1).collect()] == ["x"] and len(service.filter_config(1)["rules"]) == 2
+    assert service.get_or_create_log_config(1, NOW) == {"guild_id": 1}
+    service.save_log_config(1, {"enabled": False, "enabled_types": ["message_edit"], "ignored_users": [5]}, NOW)
+    assert service.log_config(1)["enabled_types"] == ["message_edit"] and service.db.find_one("log_configs", {"guild_id": 1})["enabled"] is False
+    service.save_secret_user(7, "owl", NOW)
+    service.save_secret_user(7, "fox", NOW)
+    assert service.secret_user(7)["nickname"] == "fox" and service.secret_user_by_nickname("owl") is None
+    assert service.delete_secret_user(7) == 1 and service.secret_user_by_nickname("fox") is None
