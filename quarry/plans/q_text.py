@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import hashing as H
 from quarry.functions import numbers as N
 from quarry.functions import text as X
+from quarry.operators import filters
 
 from .registry import load, register
 
@@ -260,13 +261,19 @@ def bloom_positions(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", F.array_join(bits.cast("array<string>"), ",").alias("bits"))
 
 
+#: The same positions in a filter that is sized by the keys it holds.
+_SIZED = _POSITIONS.replace(f"% {M}", "% m")
+
+
 @register(
     "bloom_members",
-    f"WITH p AS (SELECT c_custkey, {_POSITIONS} AS bits FROM customer), f AS (SELECT list(DISTINCT bit) AS set_bits FROM (SELECT unnest(bits) AS bit FROM p WHERE c_custkey % 7 = 0)) "
+    "WITH n AS (SELECT greatest(64, floor(-count(*) * ln(0.01::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE))))::BIGINT AS m FROM customer WHERE c_custkey % 7 = 0), "
+    f"p AS (SELECT c_custkey, {_SIZED} AS bits FROM customer, n), f AS (SELECT list(DISTINCT bit) AS set_bits FROM (SELECT unnest(bits) AS bit FROM p WHERE c_custkey % 7 = 0)) "
     "SELECT c_custkey, list_has_all(set_bits, bits) AS maybe FROM p, f",
 )
 def bloom_members(spark, sf_dir):
-    """A filter of every seventh customer, asked for all: no false negatives. The bit set has M bits at most."""
-    placed = load(spark, sf_dir, "customer").select("c_custkey", H.bloom_positions(F.col("c_custkey"), M, K).alias("bits"))
-    bits = placed.filter("c_custkey % 7 = 0").select(F.explode("bits").alias("bit")).agg(F.collect_set("bit").alias("set"))
-    return placed.join(F.broadcast(bits)).select("c_custkey", (F.size(F.array_except("bits", "set")) == 0).alias("maybe"))
+    """A filter of every seventh customer, as large as its keys ask, asked for all: no false negatives."""
+    every = load(spark, sf_dir, "customer").select("c_custkey")
+    held = every.filter("c_custkey % 7 = 0")
+    m, _ = H.bloom_shape(held.count())
+    return filters.asked(every, "c_custkey", filters.filter_words(held, "c_custkey", m, K), m, K)

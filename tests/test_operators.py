@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing, numbers, text
-from quarry.operators import detect, fanout, folds, pieces, placement
+from quarry.operators import detect, fanout, filters, folds, pieces, placement
 from quarry.plans import catalogue
 from quarry.streaming import stateful
 
@@ -207,6 +207,16 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_filter_tables(spark):
+    rows = spark.createDataFrame([(i,) for i in [*range(1000), 5, None]], "id long")
+    m, k = hashing.bloom_shape(100)
+    words = filters.filter_words(spark.range(100), "id", m, k)
+    got = filters.asked(rows, "id", words, m, k).collect()
+    assert len(got) == 1002 and all(r.maybe for r in got if r.id is not None and r.id < 100)
+    assert sum(r.maybe for r in got if r.id is not None and r.id >= 100) < 30 and not any(r.maybe for r in got if r.id is None)
+    assert filters.asked(rows, "id", filters.filter_words(spark.range(0), "id", m, k), m, k).filter("maybe").count() == 0
+
+
 def test_durations_by_spelling(spark):
     rows = [(f"{n}{gap}{case(u)}", n * s) for us, s in numbers.UNITS.items() for u in us.split() for n in (1, 40) for gap in ("", " ") for case in (str, str.upper)]
     rows += [("1mo 5m", 2592300), ("2h 30m", 9000), ("45 min 10 sec", 2710), ("1d12h", 129600), ("90", 90), ("-5", -5), ("abc", None), ("", None), ("0s", None), (None, None)]
