@@ -17,17 +17,35 @@ def status_counts(hosts: DataFrame, status: str = "status") -> DataFrame:
     return hosts.agg(F.count("*").alias("total"), F.count_if(F.col(status) == "online").alias("online"), F.count_if(F.col(status) != "online").alias("offline"))
 
 
-def latency(times: DataFrame, ms: str, keys: list[str] = ()) -> DataFrame:
+def latency(times: DataFrame, ms: str, keys: list[str] = (), ranges: int = 64) -> DataFrame:
     """Operations a second, mean, and the value at rank int(0.99 n) from 0 of the sorted times.
 
-    Ranks come from a histogram of distinct values, which combines before the shuffle."""
-    counts = times.groupBy(*keys, ms).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*keys).orderBy(ms)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    wanted = F.floor(F.col("_n") * 99 / 100)
-    return ranked.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), (F.sum(F.col(ms) * F.col("_c")) / F.sum("_c")).alias("mean_ms"),
-        (F.sum("_c") * 1000 / F.sum(F.col(ms) * F.col("_c"))).alias("ops_per_second"), F.min(F.when(F.col("_upto") > wanted, F.col(ms))).alias("p99_ms"),
+    Ranks come from a histogram of distinct values, which combines before the shuffle. It is cut in about ``ranges`` ranges of
+    like numbers of values by approximate quantiles; only the values of the range that holds the rank are put in order, so neither
+    a key's values nor, without keys, all values meet in one task. Null keys are a key; null times are left out."""
+    counts = times.filter(F.col(ms).isNotNull()).groupBy(*keys, ms).agg(F.count("*").alias("_c"))
+    totals = counts.groupBy(*keys).agg(
+        F.sum("_c").alias("n"), F.sum(F.col(ms) * F.col("_c")).alias("_ms"), F.approx_percentile(ms, [k / ranges for k in range(1, ranges)], 1000).alias("_cuts")
+    ).withColumn("_rank", F.floor(F.col("n") * 99 / 100))
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    held = totals.select(*names, "n", "_ms", "_cuts", "_rank")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # without keys the totals are one row
+    met = counts.join(held, same) if keys else counts.join(F.broadcast(held))
+    met = met.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(ms))))
+    sums = met.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"), F.first("_rank").alias("_rank"))
+    upto = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_range"))  # ``ranges`` rows a key
+    wanted = sums.withColumn("_before", upto - F.col("_in")).filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
+    wanted = wanted.select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
+    here = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        here = here & F.col(k).eqNullSafe(F.col(f"_w{i}"))
+    within = met.join(wanted, here)
+    ranked = within.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy(ms)))
+    return ranked.filter(F.col("_upto") > F.col("_rank")).groupBy(*keys).agg(
+        F.first("n").alias("n"), (F.first("_ms") / F.first("n")).alias("mean_ms"), (F.first("n") * 1000 / F.first("_ms")).alias("ops_per_second"), F.min(ms).alias("p99_ms")
     )
 
 

@@ -217,6 +217,21 @@ def test_filter_tables(spark):
     assert filters.asked(rows, "id", filters.filter_words(spark.range(0), "id", m, k), m, k).filter("maybe").count() == 0
 
 
+def test_latency_equals_sorted_lists(spark):
+    from quarry.operators import metrics
+
+    rng = random.Random(12)
+    rows = [(rng.choice(("a", "a", "b", None)), rng.choice((1.0, 2.5, rng.random() * 1000))) for _ in range(3000)] + [("one", 7.0), ("a", None)]
+    frame = spark.createDataFrame(rows, "k string, ms double")
+    got = {r.k: r for r in metrics.latency(frame, "ms", ["k"]).collect()}
+    for k in ("a", "b", None, "one"):
+        times = sorted(t for j, t in rows if j == k and t is not None)
+        assert (got[k].n, got[k].p99_ms) == (len(times), times[int(len(times) * 0.99)]) and got[k].mean_ms == pytest.approx(sum(times) / len(times))
+    times = sorted(t for _, t in rows if t is not None)
+    assert metrics.latency(frame, "ms").first().p99_ms == times[int(len(times) * 0.99)]
+    assert metrics.latency(frame.limit(0), "ms", ["k"]).count() == 0
+
+
 def test_durations_by_spelling(spark):
     rows = [(f"{n}{gap}{case(u)}", n * s) for us, s in numbers.UNITS.items() for u in us.split() for n in (1, 40) for gap in ("", " ") for case in (str, str.upper)]
     rows += [("1mo 5m", 2592300), ("2h 30m", 9000), ("45 min 10 sec", 2710), ("1d12h", 129600), ("90", 90), ("-5", -5), ("abc", None), ("", None), ("0s", None), (None, None)]
