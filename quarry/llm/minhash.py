@@ -35,11 +35,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import kept, ship, sized, text_of, written
+from .exact import filter_of
 from .graph import components
 
 WORDS = re.compile(r"\w+")
@@ -220,6 +221,15 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("node", "other", exact_similarity("a", "b").alias("similarity"))
 
 
+def _maybe(rows: DataFrame, digest: Column, digests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows that a Bloom filter of the digests may hold, and the others; all and none where the digests can be sent to every
+    executor. So texts that are not wanted are not shuffled."""
+    if digests.count() <= BROADCAST_ROWS:
+        return rows, None
+    may_hold = filter_of(digests)
+    return rows.filter(may_hold(digest)), rows.filter(~may_hold(digest))
+
+
 def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, pairs): rows(doc_id, th, node) of every row of docs, pairs(node, other, similarity) that link nodes."""
     read = written(
@@ -236,6 +246,7 @@ def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame
     known_nodes = written(nodes.join(sized(busy, BROADCAST_ROWS), "node"), "known_nodes")
     wanted = known_nodes.select("node", F.col("th").alias("_th"))
     texts = docs.select(text_of().alias("text")).withColumn("_t", F.md5("text"))
+    texts = _maybe(texts, F.col("_t"), wanted.select(F.col("_th").alias("digest")))[0]
     texts = texts.join(sized(wanted, BROADCAST_ROWS), F.col("_t") == F.col("_th"))
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     # The hub of each bucket, and all of the bucket against it.
@@ -314,8 +325,10 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     key = [F.col("doc_id").alias("__quarry_id"), F.col("th").alias("__quarry_th"), "kept"]
     every = written(classes(docs, threshold).groupBy(*key).agg(F.count("*").alias("__quarry_n")), "decisions")
     gone = written(every.filter("not kept").drop("kept", "__quarry_n"), "gone")
-    same = docs["doc_id"].eqNullSafe(F.col("__quarry_id")) & (F.md5(text_of()) == F.col("__quarry_th"))
-    left = docs.join(sized(gone, BROADCAST_ROWS), same, "left_anti")
+    some, others = _maybe(docs, F.md5(text_of()), gone.select(F.col("__quarry_th").alias("digest")))
+    same = some["doc_id"].eqNullSafe(F.col("__quarry_id")) & (F.md5(text_of()) == F.col("__quarry_th"))
+    left = some.join(sized(gone, BROADCAST_ROWS), same, "left_anti")
+    left = left if others is None else left.unionByName(others)
     if every.filter("kept and __quarry_n > 1").isEmpty():
         return left
     # Repeated rows: one of each stays.

@@ -101,6 +101,18 @@ def test_hot_bucket_in_cells(spark, monkeypatch):
     assert got(M.classes(docs)) == want
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    """Beyond the bound of every broadcast: filters and shuffled joins give the same."""
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    rng = random.Random(3)
+    base = [words(rng, 80) for _ in range(6)]
+    rows = [(200 + i, " ".join([*base[i % 6][: 80 - i // 12], *(["new"] * (i // 12))])) for i in range(48)] + [(100 + i, " ".join(words(rng, 30))) for i in range(20)] + ODD
+    docs = documents(spark, rows)
+    assert got(M.classes(docs)) == brute(rows)
+    kept = M.keep_one(docs.withColumnRenamed("lang", "node"))
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({c for _, c in brute(rows)}, key=repr)
+
+
 def test_recall_against_all_pairs_of_documents(spark):
     """Every pair of sf0.01's documents at 0.8 or more, found by an inverted index of five-word runs, is in one class."""
     from collections import Counter, defaultdict
