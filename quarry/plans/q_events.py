@@ -239,16 +239,29 @@ for _name, _keys, _make, _values, _sql in [
 RING = placement.Ring({"node-a": 1.0, "node-b": 2.0, "node-c": 0.5})
 
 
-_POINTS = ", ".join(f"('{h}', '{n}')" for h, n in RING.points)
+_RING_SQL = "ring(i, hash, node) AS (VALUES " + ", ".join(f"({i}, '{h}', '{n}')" for i, (h, n) in enumerate(RING.points)) + ")"
+#: From each point on, the nodes by their first points, around the ring.
+_WALKS_SQL = f"walks AS (SELECT i, hash, list(node ORDER BY d) AS nodes FROM (SELECT p.i, p.hash, q.node, min((q.i - p.i + {len(RING.points)}) % {len(RING.points)}) AS d FROM ring p, ring q GROUP BY ALL) GROUP BY ALL)"
+_PLACED_SQL = "SELECT event_id, coalesce(nodes, (SELECT nodes FROM walks WHERE i = 0)) AS nodes FROM (SELECT event_id, md5(event_id::VARCHAR) AS place FROM events) e ASOF LEFT JOIN walks w ON e.place <= w.hash"
+_SHARES = {n: w / sum(RING.weights.values()) for n, w in RING.weights.items()}
+
+
+@register("join_asof_places", f"WITH {_RING_SQL}, {_WALKS_SQL} SELECT event_id, nodes[1] AS node, array_to_string(nodes[2:3], ',') AS replicas FROM ({_PLACED_SQL})")
+def nodes_of_places(spark, sf_dir):
+    """The as-of lookup itself, of places that SQL can make too: the nodes from the next point of the ring on, around its end."""
+    nodes = load(spark, sf_dir, "events").select("event_id", placement.nodes_at(F.md5(F.col("event_id").cast("string")), RING, 3).alias("nodes"))
+    return nodes.select("event_id", F.get("nodes", 0).alias("node"), F.array_join(F.slice("nodes", 2, 2), ",").alias("replicas"))
 
 
 @register(
-    "join_asof_places",
-    f"WITH ring(hash, node) AS (VALUES {_POINTS}) SELECT event_id, coalesce(node, (SELECT min_by(node, hash) FROM ring)) AS node FROM (SELECT event_id, md5(event_id::VARCHAR) AS place FROM events) e ASOF LEFT JOIN ring r ON e.place <= r.hash",
+    "met_place_distribution",
+    f"WITH {_RING_SQL}, {_WALKS_SQL}, w(node, share) AS (VALUES " + ", ".join(f"('{n}', {s!r}::DOUBLE)" for n, s in _SHARES.items()) + f"), c AS (SELECT nodes[1] AS node, count(*) AS n FROM ({_PLACED_SQL}) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM c) "
+    "SELECT node, coalesce(n, 0) AS n, round(coalesce(n, 0) / total * 100, 6) AS percent, round(total * share, 6) AS expected, round((coalesce(n, 0) - total * share) / (total * share) * 100, 6) AS deviation_percent FROM w LEFT JOIN c USING (node), t",
 )
-def nodes_of_places(spark, sf_dir):
-    """The as-of lookup itself, of places that SQL can make too: the next point of the ring, around its end."""
-    return load(spark, sf_dir, "events").select("event_id", F.get(placement.nodes_at(F.md5(F.col("event_id").cast("string")), RING), 0).alias("node"))
+def place_distribution(spark, sf_dir):
+    """Rows per node against the nodes' weights, of the same places."""
+    placed = load(spark, sf_dir, "events").select(F.get(placement.nodes_at(F.md5(F.col("event_id").cast("string")), RING), 0).alias("node"))
+    return placement.node_spread(placed, RING).withColumns({c: F.round(c, 6) for c in ("percent", "expected", "deviation_percent")})
 
 
 @register("join_asof_ring")

@@ -7,14 +7,15 @@ import json
 from datetime import datetime
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import documents as D
 from quarry.functions import numbers
 from quarry.operators import detect, domain, folds, joins, metrics
 from quarry.sources import api, crypto
-from quarry.sources.database import Database, recover
+from quarry.sources.database import Database, forget, recover
+from quarry.sources.numbering import chunks
 from quarry.sources.schema import Column
 from quarry.sources.service import Service
 from quarry.sources.store import Conflict, scratch
@@ -145,6 +146,41 @@ def txn_two_tables(spark, sf_dir):
     return rows.unionByName(db.table("audit").select(F.lit("audit").alias("name"), "id", "what"))
 
 
+@register("dml_insert_many", f"SELECT {ALL} FROM customer UNION ALL SELECT * FROM (VALUES (-1, 'one', 3, 0.0, 'NONE'), (-2, 'two', 4, 0.0, 'X')) v")
+def dml_insert_many(spark, sf_dir):
+    """Rows of one batch, in one commit."""
+    db = customers(spark, sf_dir)
+    ids = db.insert_many("customer", [{"c_custkey": -1, "c_name": "one", "c_nationkey": 3}, {"c_custkey": -2, "c_name": "two", "c_nationkey": 4, "c_mktsegment": "X"}])
+    return db.table("customer") if len(set(ids)) == 2 and db.table_info("customer")["version"] == 2 else db.table("customer").limit(0)
+
+
+@register("src_drop_table", "SELECT 'customer' AS name, true AS gone, 1::BIGINT AS left_over")
+def drop_table(spark, sf_dir):
+    """A dropped table is in no list; another one stays; dropping it again is no error unless it must exist."""
+    db = customers(spark, sf_dir)
+    db.create_table("other", CUSTOMER)
+    first, again = db.drop_table("customer"), db.drop_table("customer")
+    return spark.createDataFrame([("customer", first and not again and not db.table_exists("customer"), len(db.list_tables()))], "name string, gone boolean, left_over long")
+
+
+@register("agg_table_count", "SELECT count(*) AS everything, count(*) FILTER (c_nationkey < 5) AS some FROM customer WHERE c_nationkey <> 7")
+def table_count(spark, sf_dir):
+    """All rows as the manifest knows them, after a delete; with conditions, counted."""
+    db = customers(spark, sf_dir)
+    db.delete("customer", {"c_nationkey": 7})
+    return spark.createDataFrame([(db.count("customer"), db.count("customer", query().where_lt("c_nationkey", 5)))], "everything long, some long")
+
+
+@register("txn_forget", "SELECT 0::BIGINT AS remembered, count(*) AS rows FROM customer WHERE c_nationkey <> 2")
+def txn_forget(spark, sf_dir):
+    """Old records of the log go; what was committed stays visible."""
+    db = customers(spark, sf_dir)
+    with db.begin() as t:
+        t.delete("customer", {"c_nationkey": 2})
+    forget(db, float("inf"))
+    return db.table("customer").agg(F.lit(recover(db).count()).cast("long").alias("remembered"), F.count("*").alias("rows"))
+
+
 @register("src_time_travel", f"SELECT {ALL} FROM customer")
 def time_travel(spark, sf_dir):
     """The version before a delete is still there."""
@@ -334,11 +370,9 @@ def json_round_trip(spark, sf_dir):
 
 
 @register("srt_chunks", "SELECT n_nationkey, ((row_number() OVER (ORDER BY n_nationkey) - 1) // 7)::BIGINT AS chunk FROM nation")
-def chunks(spark, sf_dir):
-    """Chunks of seven of a small ordered table."""
-    nation = load(spark, sf_dir, "nation")
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_nationkey"))
-    return nation.select("n_nationkey", F.floor((number - 1) / 7).cast("long").alias("chunk"))
+def chunks_of(spark, sf_dir):
+    """Chunks of seven of an ordered table."""
+    return chunks(load(spark, sf_dir, "nation"), ["n_nationkey"], 7, scratch(spark, "chunks")).select("n_nationkey", "chunk")
 
 
 @register(
@@ -379,6 +413,53 @@ def configs(spark, sf_dir):
     return kept.join(service.db.table("log_configs").select("guild_id", F.col("enabled").alias("logs")), "guild_id").withColumn("guild_id", F.col("guild_id").cast("int"))
 
 
+@register("dom_guilds", "SELECT n_nationkey::BIGINT AS guild_id, CASE WHEN n_nationkey = 3 THEN 2 ELSE 0 END AS case_counter, CASE WHEN n_nationkey = 3 THEN 1 ELSE 0 END AS ticket_counter, '[]' AS filter_rules FROM nation")
+def guilds(spark, sf_dir):
+    """Guilds saved at once with their defaults; one asked for, whose counters go on."""
+    service, now = Service(Database(spark, scratch(spark, "service"))), datetime(2024, 1, 1)
+    rows = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("guild_id"), F.lit(now).alias("created_at"))
+    service.save_all("guilds", rows)
+    numbers_of = [service.next_number(3, c, now) for c in ("case_counter", "ticket_counter", "case_counter")]
+    found = service.db.table("guilds").select("guild_id", "case_counter", "ticket_counter", "filter_rules")
+    return found if numbers_of == [1, 1, 2] else found.limit(0)
+
+
+@register("dom_users", "SELECT c_nationkey || '_' || c_custkey AS id, c_custkey AS user_id, c_nationkey::BIGINT AS guild_id, CASE WHEN c_custkey = 9 THEN '{\"xp\": 5}' ELSE '{}' END AS data FROM customer")
+def users(spark, sf_dir):
+    """Users saved at once; one got by guild and id, changed and saved."""
+    service, now = Service(Database(spark, scratch(spark, "service"))), datetime(2024, 1, 1)
+    rows = load(spark, sf_dir, "customer").select(F.concat_ws("_", "c_nationkey", "c_custkey").alias("id"), F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("guild_id"))
+    service.save_all("users", rows)
+    nine = service.db.find_one("users", {"user_id": 9})
+    known = service.user(9, nine["guild_id"], now)
+    service.save("users", {"id": known["id"], "data": {"xp": 5}, "updated_at": now})
+    return service.db.table("users").select("id", "user_id", "guild_id", "data")
+
+
+@register("dom_hosts", "SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey = 5 THEN 'online' ELSE 'pending' END AS last_status FROM supplier WHERE s_nationkey % 3 = 1 AND s_suppkey <> 4")
+def hosts(spark, sf_dir):
+    """Host checks of a guild: one has a new status, one is removed."""
+    service, now = Service(Database(spark, scratch(spark, "service"))), datetime(2024, 1, 1)
+    rows = load(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), (F.col("s_nationkey") % 3).cast("long").alias("guild_id"), F.col("s_name").alias("name"), F.lit("pending").alias("last_status"), F.lit(True).alias("is_active")
+    )
+    service.save_all("host_checks", rows)
+    service.set_host("s5", "online", now)
+    service.remove_host("s4")
+    return service.hosts(1).select("id", "last_status")
+
+
+@register("dom_metrics", "SELECT event_id % 3 AS shard_id, event_type AS metric_type, event_id::DOUBLE AS value FROM events WHERE event_id % 3 = 1 AND event_type = 'click' ORDER BY ts DESC LIMIT 20")
+def service_metrics(spark, sf_dir):
+    """The newest metrics of a shard and kind."""
+    service = Service(Database(spark, scratch(spark, "service")))
+    rows = load(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"), (F.col("event_id") % 3).cast("int").alias("shard_id"), F.col("event_type").alias("metric_type"), F.col("event_id").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("timestamp")
+    )
+    service.save_all("metrics", rows)
+    return service.metrics(1, "click", 20).select(F.col("shard_id").cast("long").alias("shard_id"), "metric_type", "value")
+
+
 @register("dom_nicknames", "SELECT 7::BIGINT AS user_id, 'nick of 7' AS nickname")
 def nicknames(spark, sf_dir):
     """Secret users saved, renamed and deleted; one found by nickname."""

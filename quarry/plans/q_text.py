@@ -234,9 +234,10 @@ def places(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", H.guild_hash_column("event_id").alias("place"))
 
 
-@register("hsh_random_id")
+@register("hsh_random_id", "SELECT n_nationkey, true AS well_formed FROM nation")
 def random_ids(spark, sf_dir):
-    return load(spark, sf_dir, "nation").select("n_nationkey", H.random_id("T").alias("id"))
+    """Random ids differ with every run; their form does not."""
+    return load(spark, sf_dir, "nation").select("n_nationkey", H.random_id("T").rlike("^T-[0-9A-F]{8}$").alias("well_formed"))
 
 
 @register("hsh_query_key", "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}') AS k FROM nation")

@@ -20,5 +20,5 @@ def test_every_id_has_queries_or_tests():
 
 
 def test_queries_without_sql_are_few():
-    """BLAKE2b and random ids have no form in SQL."""
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"hsh_place", "hsh_random_id", "join_asof_ring", "met_hash_distribution", "met_ring_distribution"}
+    """BLAKE2b has no form in SQL."""
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"hsh_place", "join_asof_ring", "met_hash_distribution", "met_ring_distribution"}

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.hashing import random_id
 from quarry.plans.query import query
 from quarry.sources import api, crypto
 from quarry.sources import database
 from quarry.sources.database import Database, TableError, forget, recover, undo_pending
+from quarry.sources.numbering import chunks
 from quarry.sources.schema import Column
 from quarry.sources.store import Conflict, Store
 from quarry.sources.versions import ChangeLog, WriteBuffer
@@ -207,6 +209,17 @@ def test_frames_are_numbered_without_gaps(db, spark):
     assert db.store.names("users/_stage") == []
 
 
+def test_chunks_over_many_partitions(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 AS k").repartition(9)
+    got = sorted((r.k, r.chunk) for r in chunks(rows, ["k"], 30, f"file://{tmp_path}/c").collect())
+    assert got == [(k, k // 30) for k in range(1000)]
+
+
+def test_random_ids_differ(spark):
+    ids = [r.i for r in spark.range(2000).select(random_id("T").alias("i")).collect()]
+    assert len(set(ids)) == 2000
+
+
 def test_catalog(db, tmp_path, spark):
     assert db.list_tables() == ["users"] and not db.create_table("users", COLUMNS)
     with pytest.raises(TableError):
