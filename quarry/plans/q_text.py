@@ -222,10 +222,10 @@ def _mix_sql(x: str) -> str:
 @register(
     "hsh_whiten",
     "SELECT event_id, (" + _mix_sql("x") + ")::DECIMAL(20, 0) AS whitened FROM (SELECT event_id, xor(h, ((l << 17) % 4294967296) | (l >> 15)) * 4294967296 + xor(l, ((h << 13) % 4294967296) | (h >> 19)) AS x "
-    "FROM (SELECT event_id, (id >> 32)::UBIGINT AS h, (id % 4294967296)::UBIGINT AS l FROM (SELECT event_id, (event_id * 4398046511111)::UBIGINT AS id FROM events)))",
+    "FROM (SELECT event_id, (id >> 32)::UBIGINT AS h, (id % 4294967296)::UBIGINT AS l FROM (SELECT event_id, (event_id % 1000003 * 4398046511111)::UBIGINT AS id FROM events)))",
 )
 def whitened(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", H.whiten_column(F.col("event_id") * 4398046511111).alias("whitened"))
+    return load(spark, sf_dir, "events").select("event_id", H.whiten_column(F.col("event_id") % 1000003 * 4398046511111).alias("whitened"))
 
 
 @register("hsh_place")
