@@ -87,7 +87,8 @@ def _completed(found: Column, model: str) -> Column:
 
 def decoded(text: Column, model: str) -> Column:
     """A document's struct from its JSON: unknown keys are dropped, missing ones have their defaults; null and broken texts are empty documents."""
-    return _completed(F.from_json(F.coalesce(text, F.lit("{}")), schema_of(model)), model)
+    parsed_once = F.array(F.from_json(F.coalesce(text, F.lit("{}")), schema_of(model)))
+    return F.get(F.transform(parsed_once, lambda found: _completed(found, model)), 0)
 
 
 def encoded(document: Column) -> Column:

@@ -117,11 +117,12 @@ _T = lambda sql: sql.replace("(t,", "(text,").replace("(t)", "(text)")  # noqa:
 @register(
     "txt_spam_reason",
     f"SELECT conv_id, turn, CASE WHEN length(text) > 2000 THEN 'Message too long' WHEN {_T(CAPS)} THEN 'Excessive caps' WHEN ({_T(COUNT_EMOJI)}) > 10 THEN 'Too many emojis' WHEN {_T(MASS)} THEN 'Mass mentions' "
-    "WHEN EXISTS (SELECT 1 FROM range(1, length(text)) a(i), range(3, length(text) // 6 + 1) b(n) WHERE i + 6 * n - 1 <= length(text) AND substring(text, i, 5 * n) = substring(text, i + n, 5 * n) "
-    f"AND NOT regexp_matches(substring(text, i, n), '[\n\r]')) THEN 'Repeating pattern' WHEN {_T(REPETITIVE)} THEN 'Repetitive words' END AS reason FROM conversations",
+    "WHEN len(list_filter(range(3, length(text) // 6 + 1), lambda n: contains(array_to_string(list_transform(range(1, len(c) - n + 1), lambda i: "
+    "CASE WHEN c[i] = c[i + n] AND c[i] <> chr(10) AND c[i] <> chr(13) THEN '1' ELSE '0' END), ''), repeat('1', 5 * n)))) > 0 THEN 'Repeating pattern' "
+    f"WHEN {_T(REPETITIVE)} THEN 'Repetitive words' END AS reason FROM (SELECT *, string_split(text, '') AS c FROM conversations)",
 )
 def spam(spark, sf_dir):
-    """The first reason in order; SQL compares shifted parts of the text for the back reference."""
+    """The first reason in order; for the back reference SQL looks for characters that equal those n places on, 5 n in a row."""
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", X.spam_reason("text").alias("reason"))
 
 
