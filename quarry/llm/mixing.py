@@ -151,7 +151,7 @@ def mixture(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int =
         F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id"), F.lit(seed))).alias("at"),
     )
     every = written(every, "sized")  # texts are read once
-    many = max(16, -(-every.count() // PIECE_ROWS))
+    many = max(256, -(-every.count() // PIECE_ROWS))
     every = every.withColumn("piece", F.pmod(F.col("at"), F.lit(many)))
     pieces = written(every.groupBy("source", "piece").agg(F.sum("size").alias("words")), "pieces")
     sources, quota, blocks = _sources(spark, pieces, block, share, most)
