@@ -1,7 +1,7 @@
 """Shared plumbing: scratch tables in the shared folder, shipping of code to executors, words.
 
 Arrow batches are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), and the
-operators' functions take a batch in groups of texts of a megabyte or two, so they set nothing of the session.
+operators' functions take a batch in groups of texts of a megabyte or two.
 Intermediate tables lie in a folder of the application; results that are not yet read depend on them, so they go when the
 process ends (``drop_all``), or once ``settled`` has written what was made of them.
 """
@@ -23,6 +23,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Stands in for a null doc_id where an order is needed: null comes last.
 LAST_ID = (1 << 63) - 1
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Tables written so far in this process, in order.
 _MADE: list[str] = []
 #: Temporary folders of local sessions without spark.checkpoint.dir, by application.
@@ -45,6 +46,12 @@ def kept(name: str, make):
     return slot[name]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of ``BATCH_ROWS`` rows where the session and its context have no setting of their own. A setting, be it the default's value, stays."""
+    if BATCH not in spark.conf.getAll and not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     sc = spark.sparkContext

@@ -342,3 +342,15 @@ def test_intermediate_tables_go(spark):
     out = common.settled(spark, make, "stays")
     assert out.count() == 5 and not os.path.exists(made[0].removeprefix("file://"))
     assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_chosen_batch_size_stays(spark):
+    from quarry.llm import common
+
+    session = spark.newSession()
+    session.conf.set(common.BATCH, "10000")
+    common.small_batches(session)
+    assert session.conf.get(common.BATCH) == "10000"
+    other = spark.newSession()
+    common.small_batches(other)
+    assert other.conf.get(common.BATCH) == "1000"
