@@ -45,13 +45,18 @@ def whole_text(text: Column) -> Column:
     return text
 
 
+def once(value: Column) -> Column:
+    """The value, computed once a row: it counts as not deterministic, so it is not put in the place of its name wherever that is used."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def places(digest: Column, bits: int) -> list[Column]:
     """The bits of a digest in a filter of so many."""
     return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits).cast("long")) for k in range(HASHES)]
 
 
 def filter_of(digests: DataFrame) -> Callable[[Column], Column]:
-    """A test whether a table(digest) may hold a digest: false is certain."""
+    """A test whether a table(digest) may hold a digest, a column of its own: false is certain."""
     n = digests.count()
     bits = 1 << 10
     while bits < min(16 * n, FILTER_BITS):
@@ -167,7 +172,8 @@ def _collisions(docs: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """Digests whose texts are not all the same bytes: the least differs from the greatest. Map sides
     combine, so a group of copies sends two texts a task and meets nowhere."""
     may_hold = filter_of(hits.select("digest"))
-    body = docs.select(normalised(text_of()).alias("body")).withColumn("digest", digest(F.col("body"))).filter(may_hold(F.col("digest")))
+    body = docs.select(text_of().alias("text"), once(digest(normalised(text_of()))).alias("digest")).filter(may_hold(F.col("digest")))
+    body = body.select("digest", normalised(F.col("text")).alias("body"))
     ends = body.join(sized(hits.select("digest"), BROADCAST_ROWS), "digest").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     return written(ends.filter(F.col("low") != F.col("high")).select("digest"), "collided")
 
@@ -193,15 +199,22 @@ def decisions(docs: DataFrame, digest=sha256_digest) -> DataFrame:
 
 def drop_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """docs without the rows whose normalised text a row of smaller doc_id has; columns unchanged."""
-    _, hits = _index(docs, digest)
+    flushed, hits = _index(docs, digest)
     if digest is not whole_text and not _collisions(docs, hits, digest).isEmpty():
         return drop_copies(docs, whole_text)
     copies = hits.select(F.col("digest").alias("__quarry_digest"), F.col("keep_id").alias("__quarry_keep"))
-    may_hold, key = filter_of(hits.select("digest")), digest(normalised(text_of()))
-    marked = docs.withColumn("__quarry_key", key)
-    alone = marked.filter(~may_hold(F.col("__quarry_key")))
-    met = marked.filter(may_hold(F.col("__quarry_key"))).join(sized(copies, BROADCAST_ROWS), F.col("__quarry_key") == F.col("__quarry_digest"), "left")
-    single = met.filter(F.col("__quarry_digest").isNull())
-    stay = met.filter(F.col("__quarry_digest").isNotNull() & docs["doc_id"].eqNullSafe(F.col("__quarry_keep"))).dropDuplicates(["__quarry_digest"])
+    may_hold, key = filter_of(hits.select("digest")), F.col("__quarry_key")
+    asked = docs.withColumn("__quarry_key", once(digest(normalised(text_of())))).withColumn("__quarry_key", F.when(may_hold(key), key))
     shape = [F.col(f"`{c}`") for c in docs.columns]
-    return alone.select(*shape).unionByName(single.select(*shape)).unionByName(stay.select(*shape))
+    same, copy = F.col("__quarry_key") == F.col("__quarry_digest"), F.col("__quarry_digest").isNotNull()
+    if copies.count() <= BROADCAST_ROWS:
+        met, others = asked.join(F.broadcast(copies), same, "left"), None
+    else:  # texts that the filter tells from all copies are not shuffled
+        met, others = asked.filter("__quarry_key IS NOT NULL").join(copies, same, "left"), asked.filter("__quarry_key IS NULL").select(*shape)
+    first = docs["doc_id"].eqNullSafe(F.col("__quarry_keep"))
+    least = flushed.join(sized(hits, BROADCAST_ROWS), "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if least.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        left = met.filter(~copy | first).select(*shape)
+    else:  # several rows have the smallest doc_id
+        left = met.filter(~copy).select(*shape).unionByName(met.filter(copy & first).dropDuplicates(["__quarry_digest"]).select(*shape))
+    return left if others is None else left.unionByName(others)

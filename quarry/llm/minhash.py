@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, ship, sized, text_of, written
-from .exact import filter_of
+from .common import kept, ship, small_batches, sized, text_of, written
+from .exact import filter_of, once
 from .graph import components
 
 WORDS = re.compile(r"\w+")
@@ -226,12 +226,14 @@ def _maybe(rows: DataFrame, digest: Column, digests: DataFrame) -> tuple[DataFra
     executor. So texts that are not wanted are not shuffled."""
     if digests.count() <= BROADCAST_ROWS:
         return rows, None
-    may_hold = filter_of(digests)
-    return rows.filter(may_hold(digest)), rows.filter(~may_hold(digest))
+    may_hold, marked = filter_of(digests), rows.withColumn("__quarry_digest", once(digest))
+    here = may_hold(F.col("__quarry_digest"))
+    return marked.filter(here).drop("__quarry_digest"), marked.filter(~here).drop("__quarry_digest")
 
 
 def links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, pairs): rows(doc_id, th, node) of every row of docs, pairs(node, other, similarity) that link nodes."""
+    small_batches(docs.sparkSession)
     read = written(
         docs.select("doc_id", F.md5(text_of()).alias("th"), signed(text_of()).alias("s")).select("doc_id", "th", "s.node", "s.bands"),
         "signed",

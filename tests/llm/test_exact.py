@@ -93,3 +93,11 @@ def test_one_row_of_ties_is_kept(spark):
     out = exact.decisions(documents(spark, rows)).filter("kept").collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in out), key=repr) == [(3, 3, 7), (None, None, 2)]
     assert exact.drop_copies(documents(spark, rows)).count() == 2
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(exact, "BROADCAST_ROWS", 0)
+    rows = [(i, f"text {i % 30}") for i in range(90)] + [(500 + i, f"alone {i}") for i in range(50)] + [(7, "twice"), (7, "twice"), (None, "twice")]
+    docs = documents(spark, rows)
+    assert got(exact.decisions(docs)) == brute(rows)
+    assert sorted(r.doc_id for r in exact.drop_copies(docs).collect()) == sorted([*range(30), *range(500, 550), 7])
