@@ -172,7 +172,7 @@ def taken_words(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken."""
     rows, slots = mixture(docs, block=block, **how)
     rows = written(rows, "streams")
-    # Catalyst takes the slots for as few as their shards; they are no side to broadcast
+    # Catalyst takes the slots for as few as their shards; they, and what is counted from them, are no side to broadcast
     times = slots.groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
     full = rows.filter("size > 0")
     parts = (
@@ -185,7 +185,7 @@ def taken_words(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     )
     took = parts.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # start names a row of its source that has words
-    met = full.join(took, ["source_no", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    met = full.join(took.hint("merge"), ["source_no", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     shape = ["doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return met.select(*shape).unionByName(rows.filter("size = 0").withColumn("taken", F.lit(0)).select(*shape))
 
